@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def crc_mod(key: str, n: int) -> Column:
 def pieces(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds at most ``max_bytes`` (one row at least), so memory doesn't follow the batch."""
     for rb in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(rb.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(rb.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if i > start and (held + size > max_bytes or i - start >= max_rows):
