@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "decontam", "rules")
+MODULES = ("quality", "rules", "bpe", "langid", "decontam")
 
 
 def queries() -> dict:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialise, pieces, table, texts_of
-from .rules import _LOWER, _MARKS, _SYMBOLS, _UPPER, repeated_words
+from .rules import _MARKS, _SYMBOLS, _UPPER, repeated_words
 
 THRESHOLD = 0.3
 _DIGITS = b"0123456789"
@@ -37,26 +37,26 @@ def statistics(text: str) -> list[float]:
     n = len(words)
     if not n:
         return [0.0] * len(NAMES)
-    body = sum(map(len, words))
+    # Shares count a few neutral characters, words or lines besides, so that short texts don't look extreme.
+    body = sum(map(len, words)) + 60
     share = lambda drop: (len(raw) - len(raw.translate(None, drop))) / body
-    upper, lower = share(_UPPER), share(_LOWER)
     times = Counter(words)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     marks = frozenset(_MARKS)
     return [
         float(np.log1p(n)),
-        float(np.log(body / n)),
+        float(np.log(body / (n + 12))),
         float(np.sqrt(share(_SYMBOLS))),
         float(np.sqrt(share(_MARKS))),
-        float(np.sqrt(upper / (upper + lower) if upper else 0.0)),
+        float(np.sqrt(share(_UPPER))),
         float(np.sqrt(share(_DIGITS))),
-        repeated_words(words) / n,
-        float(np.log(n / len(times)) / np.log1p(n)),
-        float(np.sqrt(max(times.values()) / n)),
-        (len(lines) - len(set(lines))) / max(1, len(lines)),
-        sum(w[-1] in marks for w in words) / n,
-        float(np.log(n / max(1, len(lines)))),
-        float(np.sqrt(len(raw.translate(None, bytes(range(128)))) / len(raw))),
+        repeated_words(words) / (n + 12),
+        float(np.log((n + 12) / (len(times) + 12))),
+        float(np.sqrt((max(times.values()) - 1) / (n + 12))),
+        (len(lines) - len(set(lines))) / (len(lines) + 3),
+        sum(w[-1] in marks for w in words) / (n + 12),
+        float(np.log((n + 12) / (len(lines) + 1))),
+        float(np.sqrt(len(raw.translate(None, bytes(range(128)))) / body)),
     ]
 
 
