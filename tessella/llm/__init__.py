@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "warc", "rules", "urlfilter", "neardup", "bpe", "langid", "decontam")
+MODULES = ("secrets", "quality", "warc", "rules", "urlfilter", "neardup", "bpe", "pii", "langid", "decontam")
 
 
 def queries() -> dict:
