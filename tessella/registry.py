@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = (
+    "tessella.operators.vector",
+    "tessella.operators.spatial",
+    "tessella.operators.lookup",
+    "tessella.operators.raster",
+)
 
 
 def queries() -> dict[str, Callable]:
