@@ -10,6 +10,9 @@ MODULES: tuple[str, ...] = (
     "tessella.operators.spatial",
     "tessella.operators.lookup",
     "tessella.operators.raster",
+    "tessella.operators.tools",
+    "tessella.plans.pyramid",
+    "tessella.streaming.events",
 )
 
 
