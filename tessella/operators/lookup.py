@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella import fixtures as fx
 from tessella.functions import crs, geom
@@ -138,13 +139,13 @@ def _number(v: object, digits: int) -> str:
     return "NULL" if v is None or v != v else f"{float(v):.{digits}g}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def general_number(v: pd.Series) -> pd.Series:
     """Text of a number as ``%.10g`` spells it; null as NULL."""
     return v.map(lambda x: _number(x, 10))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sample_number(v: pd.Series) -> pd.Series:
     """Text of a raster value: whole numbers plain, others as ``%.8g`` spells them."""
     return v.map(lambda x: "NULL" if x is None or x != x else str(int(x)) if float(x).is_integer() and abs(x) < 1e15 else f"{x:.8g}")
@@ -160,7 +161,7 @@ def decode_text(raw: Column, encoding: str) -> Column:
         return F.coalesce(F.try_validate_utf8(raw.cast("string")), F.when(raw.isNotNull(), ""))
     codec = _CODECS[name]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(v: pd.Series) -> pd.Series:
         def one(b: bytes | None) -> str | None:
             if b is None:
