@@ -182,8 +182,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, columns as they were."""
-    found = scan(docs, benchmark)
-    return found.where(F.size("ranges") == 0).select(*docs.columns)
+    found = scan(docs.select(F.struct(*docs.columns).alias("__row"), "text"), benchmark)
+    return found.where(F.size("ranges") == 0).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,4 +191,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_decontaminate": op10_decontaminate}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_decontaminate": r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+b as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+bw as (select distinct item, least(len(ws), 10) n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') win from (select item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) i from b where len(ws) > 0)),
+sizes as (select distinct n from bw),
+dw as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') win from (select doc_id, ws, n, unnest(range(1, greatest(0, len(ws) - n + 1) + 1)) i from d, sizes)),
+hits as (select doc_id, dw.i, dw.n, item from dw join bw using (n, win)),
+items as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) ids from hits group by 1),
+spots as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) group by 1)
+select d.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join items using (doc_id) left join spots using (doc_id)
+"""
+}
