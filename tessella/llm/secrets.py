@@ -49,30 +49,29 @@ def _linked(hit: DataFrame, reach: int) -> DataFrame:
 
 
 def find(docs: DataFrame, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
-    """The documents that may hold parts, with base and spans (all that is reported), and those that surely hold none."""
+    """The documents that may hold parts, with __base and __spans (all that is reported), and those that surely hold none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = [c for c in docs.columns if c not in ("row", "base", "weak", "linked", "spans")]
-    docs = docs.select(*names)
-    gated = materialise(docs.where(text.rlike(GATE)).withColumn("row", F.monotonically_increasing_id()), "secrets-gated")
+    names = docs.columns
+    gated = materialise(docs.where(text.rlike(GATE)).withColumn("__row", F.monotonically_increasing_id()), "secrets-gated")
     # An assignment's keyword is group 1 and its value group 2.
     base = F.array_sort(F.concat(places(F.col("text"), ASSIGN, 0, 2, 8), places(F.col("text"), ACCESS, 1, 0, 16), places(F.col("text"), HEX, 2)))
     weak = F.array_sort(F.concat(places(F.col("text"), ACCOUNT, 3), places(F.col("text"), MIXED, 4), places(F.col("text"), ENDPOINT, 5)))
-    hit = materialise(gated.select("row", base.alias("base"), weak.alias("weak")), "secrets-spans")
+    hit = materialise(gated.select(F.col("__row").alias("row"), base.alias("base"), weak.alias("weak")), "secrets-spans")
     linked = materialise(_linked(hit, reach), "secrets-linked")
     spans = F.array_sort(F.array_union("base", F.coalesce("linked", F.array().cast(NO_SPANS))))
-    some = gated.join(hit, "row").join(linked, "row", "left").select(*names, "base", spans.alias("spans"))
+    all_spans = hit.join(linked, "row", "left").select(F.col("row").alias("__row"), F.col("base").alias("__base"), spans.alias("__spans"))
     none = F.array().cast(NO_SPANS)
-    return some, docs.where(~text.rlike(GATE)).select(*names, none.alias("base"), none.alias("spans"))
+    return gated.join(all_spans, "__row").select(*names, "__base", "__spans"), docs.where(~text.rlike(GATE)).select(*names, none.alias("__base"), none.alias("__spans"))
 
 
 def report(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked (weak spans reported)."""
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
     some, none = find(docs.select("doc_id", "text"), reach)
     out = [
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(listed(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans"), KINDS).alias("spans"),
-        (F.size("spans") - F.size("base")).cast("long").alias("n_linked"),
+        F.sha2(listed(F.col("__base"), KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.col("__spans"), KINDS).alias("spans"),
+        (F.size("__spans") - F.size("__base")).cast("long").alias("n_linked"),
     ]
     return some.select(*out).union(none.select(*out))
 
@@ -80,7 +79,7 @@ def report(docs: DataFrame, reach: int = REACH) -> DataFrame:
 def redact(docs: DataFrame, reach: int = REACH, mark: str = MARK) -> DataFrame:
     """All documents, every reported span replaced by ``mark``; columns as they were, n_chars, if there, counted anew."""
     some, none = find(docs, reach)
-    clean = some.withColumn("text", replaced(F.col("text"), F.col("spans"), lambda _: F.lit(mark)))
+    clean = some.withColumn("text", replaced(F.col("text"), F.col("__spans"), lambda _: F.lit(mark)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns).union(none.select(*docs.columns))

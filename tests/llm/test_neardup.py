@@ -46,6 +46,7 @@ def check(spark, rows, columns="doc_id long, text string"):
 def test_large_groups_lose_no_link(spark, monkeypatch):
     """Buckets far above the bound, with members on both sides of the threshold, chains and variants of variants."""
     monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "SMALL_REST", 5)
     rng = random.Random(5)
     rows, k = [], 0
     for _ in range(2):
