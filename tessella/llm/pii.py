@@ -10,7 +10,8 @@ entities apart: all surrogates are compared, with each other and with the entiti
 the smallest entity of each, try again. An entity that collides after ``RELAXED`` attempts may take a longer form.
 
 Defined results: null texts stay null and have no entities; overlapping entities: the one that begins first, then the one
-of the kind listed first, is replaced; repeated rows give repeated results; extra columns are kept by :func:`pseudonymise`.
+of the kind listed first, is replaced; repeated rows give repeated results; extra columns are kept by :func:`pseudonymise`, but for those named
+like its counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ RELAXED = 4
 MAX_ATTEMPTS = 64
 
 
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once a row, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -62,11 +68,14 @@ def _spelled(raw: Column, hexes: Column, skip: Column | None = None) -> Column:
     """``raw`` with its letters and digits drawn anew; the first ``skip`` characters stay."""
     chars = F.split(raw, "")
 
-    def one(c: Column, i: Column) -> Column:
-        out = F.when(c.between("0", "9"), (_nth(hexes, i) % 10).cast("string"))
+    def drawn(c: Column, n: Column) -> Column:
+        out = F.when(c.between("0", "9"), (n % 10).cast("string"))
         for letters in _SCRIPTS:
-            out = out.when(F.lit(letters).contains(c), F.substring(F.lit(letters), _nth(hexes, i) % len(letters) + 1, F.lit(1)))
-        out = out.otherwise(c)
+            out = out.when(F.lit(letters).contains(c), F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1)))
+        return out.otherwise(c)
+
+    def one(c: Column, i: Column) -> Column:
+        out = _let(_nth(hexes, i), lambda n: drawn(c, n))
         return out if skip is None else F.when(i < skip, c).otherwise(out)
 
     return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), one), "")
@@ -75,43 +84,47 @@ def _spelled(raw: Column, hexes: Column, skip: Column | None = None) -> Column:
 def _octets(raw: Column, hexes: Column, attempt: Column) -> Column:
     """Four numbers below 256, each with as many digits as before; any number from the relaxed attempts on."""
 
-    def one(o: Column, i: Column) -> Column:
-        x = _nth(hexes, i)
+    def drawn(o: Column, x: Column) -> Column:
         own = F.when(F.length(o) == 1, x % 10).when(F.length(o) == 2, x % 90 + 10).otherwise(x % 156 + 100)
         return F.when(attempt >= RELAXED, x % 256).otherwise(own).cast("string")
 
-    return F.array_join(F.transform(F.split(raw, r"\."), one), ".")
+    return F.array_join(F.transform(F.split(raw, r"\."), lambda o, i: _let(_nth(hexes, i), lambda x: drawn(o, x))), ".")
 
 
 def _luhn(digits: Column) -> Column:
     """Check sum of a string of digits, whose last is the check digit."""
-    n = F.length(digits)
+    places = F.filter(F.split(F.reverse(digits), ""), lambda c: c != "")
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i + 1, F.lit(1)).cast("int")
-        twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-        return total + F.when((n - i) % 2 == 0, twice).otherwise(d)
+    def worth(c: Column, i: Column) -> Column:
+        d = c.cast("int")
+        return F.when(i % 2 == 0, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10
+    return F.aggregate(F.transform(places, worth), F.lit(0), lambda total, d: total + d) % 10
 
 
 def _card(norm: Column, hexes: Column) -> Column:
     """The digits of a card number: the first stays, the last is the right check digit if it was before."""
-    drawn = _spelled(norm, hexes, F.lit(1))
-    body = F.substring(drawn, F.lit(1), F.length(norm) - 1)
-    check = (F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10
-    return F.when(_luhn(norm) == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
+
+    def checked(drawn: Column) -> Column:
+        body = F.substring(drawn, F.lit(1), F.length(norm) - 1)
+        fixed = _let(body, lambda b: F.concat(b, ((F.lit(10) - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
+        return F.when(_luhn(norm) == 0, fixed).otherwise(drawn)
+
+    return _let(_spelled(norm, hexes, F.lit(1)), checked)
 
 
 def _in_format(raw: Column, digits: Column) -> Column:
     """``digits`` put in place of the digits of ``raw``."""
     chars = F.filter(F.split(raw, ""), lambda c: c != "")
 
-    def step(acc: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct((acc["n"] + is_digit.cast("int")).alias("n"), F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+    def put(digits: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            return F.struct((acc["n"] + is_digit.cast("int")).alias("n"), F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+
+        return F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    return F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+    return _let(digits, put)
 
 
 def _person(raw: Column, hexes: Column, attempt: Column, given: list[str]) -> Column:
@@ -124,12 +137,14 @@ def _person(raw: Column, hexes: Column, attempt: Column, given: list[str]) -> Co
 
 def surrogate(key: str, kind: Column, raw: Column, norm: Column, attempt: Column) -> Column:
     """The replacement of one mention."""
-    h = _digest(key, kind, norm, attempt)
+    return _let(_digest(key, kind, norm, attempt), lambda h: _from_digest(h, kind, raw, norm, attempt))
+
+
+def _from_digest(h: Column, kind: Column, raw: Column, norm: Column, attempt: Column) -> Column:
     longer = F.when(attempt >= RELAXED, F.substring(h, F.lit(1), F.lit(4))).otherwise("")
-    email = F.concat(longer, _spelled(raw, h))
     # the domain's last label stays
     tld = F.regexp_extract(raw, r"(\.[A-Za-z0-9-]+)$", 1)
-    email = F.concat(F.substring(email, F.lit(1), F.length(email) - F.length(tld)), tld)
+    email = F.concat(longer, _spelled(F.substring(raw, F.lit(1), F.length(raw) - F.length(tld)), h), tld)
     country = F.length(F.regexp_extract(norm, "^(1|7|[2-9][0-9])", 1))
     return (
         F.when(kind == 0, email).when(kind == 1, _in_format(raw, _spelled(norm, h, country))).when(kind == 2, _octets(raw, h, attempt))
@@ -153,28 +168,29 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All documents with surrogates in their texts and n_email, n_phone, n_ip, n_card, n_person; n_chars is counted anew."""
-    names = [c for c in docs.columns if c not in ("row", "found", "new")]
+    counts = ["n_email", "n_phone", "n_ip", "n_card", "n_person"]
+    names = [c for c in docs.columns if c not in counts]
     docs = docs.select(*names)
     text = F.coalesce(F.col("text"), F.lit(""))
-    gated = materialise(docs.where(text.rlike(GATE)).withColumn("row", F.monotonically_increasing_id()), "pii-gated")
+    gated = materialise(docs.where(text.rlike(GATE)).withColumn("__row", F.monotonically_increasing_id()), "pii-gated")
     patterns = [EMAIL, PHONE, IP, CARD, MAN, WOMAN]
     found = F.array_sort(F.concat(*(places(F.col("text"), p, k) for k, p in enumerate(patterns))))
-    spans = materialise(gated.select("row", "text", F.explode(found).alias("s")).select("row", "s", F.col("s.kind").alias("kind"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("raw")), "pii-spans")
+    spans = gated.select(F.col("__row").alias("row"), "text", F.explode(found).alias("s"))
+    raw = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    spans = materialise(spans.select("row", "s", F.col("s.kind").alias("kind"), raw.alias("raw")), "pii-spans")
     ents = spans.withColumn("norm", normal(F.col("kind"), F.col("raw")))
     tries = attempts(ents, key)
     new = ents.join(tries, ["kind", "norm"]).select("row", F.struct("s.start", "s.kind", "s.end", surrogate(key, F.col("kind"), F.col("raw"), F.col("norm"), F.col("attempt")).alias("new")).alias("s"))
-    by_row = materialise(new.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("found")), "pii-by-row")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,new:string>>")
-    some = gated.join(by_row, "row", "left").withColumn("found", F.coalesce("found", none))
     # of overlapping spans only the first is replaced, and only it counts
-    own = F.aggregate("found", F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"])
-    some = some.withColumn("found", own)
-    count = lambda *k: F.size(F.filter("found", lambda s: s["kind"].isin(*k))).cast("long")
-    tail = [count(0).alias("n_email"), count(1).alias("n_phone"), count(2).alias("n_ip"), count(3).alias("n_card"), count(4, 5).alias("n_person")]
-    some = some.select(*names, "found", *tail).withColumn("text", replaced(F.col("text"), F.col("found"), lambda s: s["new"]))
+    own = F.aggregate("s", F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"])
+    by_row = materialise(new.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list("s")).alias("s")).select("__row", own.alias("__found")), "pii-by-row")
+    some = gated.join(by_row, "__row", "left").withColumn("__found", F.coalesce("__found", none))
+    count = lambda *k: F.size(F.filter("__found", lambda s: s["kind"].isin(*k))).cast("long")
+    tail = [count(*k).alias(c) for c, k in zip(counts, [(0,), (1,), (2,), (3,), (4, 5)], strict=True)]
+    some = some.select(*names, "__found", *tail).withColumn("text", replaced(F.col("text"), F.col("__found"), lambda s: s["new"]))
     if "n_chars" in names:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    counts = ["n_email", "n_phone", "n_ip", "n_card", "n_person"]
     rest = docs.where(~text.rlike(GATE)).select(*names, *(F.lit(0).cast("long").alias(c) for c in counts))
     return some.select(*names, *counts).union(rest)
 
