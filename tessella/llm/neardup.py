@@ -3,17 +3,20 @@
 A document's set is its distinct five-word shingles (64-bit hashes); documents of equal sets form one class, and only
 classes are compared. Two small collections of ``m`` bands with ``r`` minhashes each are computed; a table key joins band
 i of the first collection with band j of the second, so ``m * m`` tables of ``2 r`` minhashes cost ``2 m r`` minhashes instead
-of ``2 m m r``. With r = 2 and m = 12 a pair of similarity 0.75 meets in some table with probability
-``(1 - (1 - 0.75**2)**12)**2``, over 0.9999.
-
-No bucket emits its pairs. Each bucket has a hub, its smallest set, and every member is compared with the hub on full
-sets. Two members x and y that don't both link to their hub h can only link with each other if they share shingles outside
-h: as h is the smallest, ``|y| >= |h|``, and if x doesn't link to h then ``|x & h| < 3/7 (|x| + |h|) <= 3/7 (|x| + |y|)``, the
-overlap that a link of x and y needs. So members of a hub that still lie in different components meet again in buckets of
-(hub, shingle outside the hub); x needs only a prefix of these, in the order of hashes, as
-``3/7 (|x| + max(|h|, 3/4 |x|)) - |x & h|`` of them must be shared. These buckets get hubs of their own, and so on until nothing
-new has to be compared. This finds every link that some table contains; rows grow in proportion to members, never with the
-square of a bucket.
+of ``2 m m r``. With r = 3 and m = 16 a pair of similarity 0.75 meets in some table with probability
+``(1 - (1 - 0.75**3)**16)**2``, over 0.9996, and one of 0.8 with over 0.9999.
+
+A bucket of at most ``SMALL`` members compares each member with the few others of fitting size (``SMALL_REST`` further down,
+where pairs that meet in no table are left out). A larger bucket never
+emits its pairs: it has a hub, its smallest set, and every member is compared with the hub on full sets. Two members x and
+y that don't both link to their hub h can only link with each other if they share shingles outside h: as h is the smallest,
+``|y| >= |h|``, and if x doesn't link to h then ``|x & h| < 3/7 (|x| + |h|) <= 3/7 (|x| + |y|)``, the overlap that a link of x
+and y needs. So members of a hub that still lie in different components meet again in buckets of (hub, shingle outside
+the hub, class of size). Of them x and y share ``n(x) = 3/7 (|x| + max(|h|, 3/4 |x|)) - |x & h|`` at least, and n(y). So x
+needs only its first ones, in the order of hashes, all but ``3/4 n(x)``: the pair shares a quarter of the larger n among those of
+both, and a node that shares fewer than its own quarter with other components is done with this hub. The buckets are
+compared in the same two ways, and so on until nothing new has to be compared. This finds every link that some table contains; rows grow in proportion to members,
+never with the square of a bucket.
 
 Defined results: null or empty texts, and texts without words, have empty sets, link with nothing and form a component of
 their own; rows of one id and equal text are one class; rows of one id and different texts stay different nodes; a
@@ -23,19 +26,22 @@ and ignored by :func:`components`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, pieces, table, texts_of
 
 WORDS = 5
-BANDS = 12  # m
-ROWS = 2  # r
+BANDS = 16  # m
+ROWS = 3  # r
+SMALL = 8  # members of a table's bucket that is compared without a hub
+SMALL_REST = 64  # the same for buckets of shingles outside a hub, whose pairs have to meet in a table besides
 _LOW = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,11 +122,11 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, residual: bool) -> DataFrame:
-    """Of (node, hub) pairs: whether they link or, if ``residual``, the node's shingles that partners beside the hub must share."""
+    """Of (node, hub) pairs: whether they link or, if ``residual``, the node's shingles of which partners beside the hub must share ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in pieces(batches, "set", 4 << 20):
-            out = []
+            out, leasts = [], []
             for x, h, on in zip(rb.column("set").to_pylist(), rb.column("hub_set").to_pylist(), rb.column("linked").to_pylist(), strict=True):
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
                 at = np.searchsorted(h, x)
@@ -129,19 +135,21 @@ def _compare(pairs: DataFrame, sets: DataFrame, residual: bool) -> DataFrame:
                 if not residual:
                     out.append(100 * both >= 75 * (len(x) + len(h) - both))
                     continue
-                rest = x[~inside]
+                rest, least = x[~inside], 1
                 if not on:
                     # 3/7 (|x| + max(|h|, 3/4 |x|)) - both, rounded up
-                    need = -(-3 * max(4 * len(x) + 4 * len(h), 7 * len(x)) // 28) - both
-                    rest = rest[: max(0, len(rest) - max(1, need) + 1)]
+                    need = max(1, -(-3 * max(4 * len(x) + 4 * len(h), 7 * len(x)) // 28) - both)
+                    least = -(-need // 4)
+                    rest = rest[: max(0, len(rest) - need + least)]
                 out.append(rest.view(np.int64))
-            kind = pa.list_(pa.int64()) if residual else pa.bool_()
-            yield pa.RecordBatch.from_arrays([rb.column("node"), rb.column("hub"), pa.array(out, kind)], ["node", "hub", "out"])
+                leasts.append(least)
+            columns = [rb.column("node"), rb.column("hub"), pa.array(out, pa.list_(pa.int64()) if residual else pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(leasts, pa.int32())] if residual else [])], ["node", "hub", "out", *(["least"] if residual else [])])
 
     if "linked" not in pairs.columns:
         pairs = pairs.withColumn("linked", F.lit(False))
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub")
-    return both.select("node", "hub", "linked", "set", "hub_set").mapInArrow(run, f"node binary, hub binary, out {'array<long>' if residual else 'boolean'}")
+    return both.select("node", "hub", "linked", "set", "hub_set").mapInArrow(run, "node binary, hub binary, out " + ("array<long>, least int" if residual else "boolean"))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -162,15 +170,57 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _star(members: DataFrame, key: list[str], unresolved: bool) -> DataFrame:
-    """(node, hub) pairs of the buckets of ``members`` (key, node, n and, if ``unresolved``, label).
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (of all nodes that were ever compared) after more links; only links between components are looked at."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    between = links.join(of("node"), "node").join(of("hub"), "hub").where("node_label <> hub_label")
+    between = materialise(between.select(F.col("node_label").alias("node"), F.col("hub_label").alias("hub")).distinct(), "neardup-between")
+    if not between.limit(1).count():
+        return labels
+    moved = connected(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
 
-    Buckets of one node, or of one component, are left out.
+
+def _fits(a: str, b: str) -> Column:
+    """Whether two sizes allow a similarity of 0.75."""
+    return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
+
+
+def _meets(a: str, b: str) -> Column:
+    """Whether two nodes' bands share a table key: one band of either collection."""
+    halves = [F.arrays_overlap(F.slice(a, first, BANDS), F.slice(b, first, BANDS)) for first in (1, BANDS + 1)]
+    return halves[0] & halves[1]
+
+
+def _pairs(members: DataFrame, key: list[str], unresolved: bool, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, hub, big) to compare, from the buckets of ``members`` (key, node, n and, if ``unresolved``, label).
+
+    Buckets of one node, or of one component, are left out. ``big`` tells that the pair is of a hub and its member.
     """
     differ = "label" if unresolved else "node"
-    hubs = members.groupBy(*key).agg(F.min(F.struct("n", "node")).alias("least"), F.min(differ).alias("lo"), F.max(differ).alias("hi"))
-    hubs = materialise(hubs.where("lo <> hi").select(*key, F.col("least.node").alias("hub")), "neardup-hubs")
-    return members.join(hubs, key).where("node <> hub").select("node", "hub").distinct()
+    found = members.groupBy(*key).agg(F.min(F.struct("n", "node")).alias("least"), F.min(differ).alias("lo"), F.max(differ).alias("hi"), F.count("*").alias("k"))
+    hubs = materialise(found.where("lo <> hi").select(*key, F.col("least.node").alias("hub"), "k"), "neardup-hubs")
+    small = SMALL_REST if unresolved else SMALL
+    large = members.join(hubs.where(F.col("k") > small), key).where("node <> hub").select("node", "hub", F.lit(True).alias("big"))
+    few = members.join(hubs.where(F.col("k") <= small).select(*key), key)
+    few = few.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("n", "node", F.col(differ).alias("of")))).alias("all"))
+    few = few.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y < F.col("x"))).alias("y"))
+    few = few.select(F.col("x.node").alias("node"), F.col("y.node").alias("hub"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x.of") != F.col("y.of")).alias("apart"))
+    few = few.where(_fits("n", "m") & F.col("apart")).select("node", "hub", F.lit(False).alias("big"))
+    if nodes is not None:
+        few = materialise(few.distinct(), "neardup-few")
+        few = few.join(nodes.select("node", "keys"), "node").join(nodes.select(F.col("node").alias("hub"), F.col("keys").alias("hub_keys")), "hub")
+        few = few.where(_meets("keys", "hub_keys")).select("node", "hub", "big")
+    return large.union(few).groupBy("node", "hub").agg(F.max("big").alias("big"))
+
+
+def _viable(members: DataFrame) -> DataFrame:
+    """Rows of (inside, shingle, class) buckets without nodes that share fewer than ``least`` shingles with other components."""
+    key = ["inside", "shingle", "class"]
+    found = members.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*key)
+    open_ = materialise(members.join(materialise(found, "neardup-open"), key), "neardup-shared")
+    enough = open_.groupBy("node", "inside", "least").agg(F.count_distinct("shingle").alias("k")).where("k >= least").select("node", "inside")
+    return materialise(open_.join(materialise(enough, "neardup-enough"), ["node", "inside"]), "neardup-viable")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -186,25 +236,32 @@ def components(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("band") < BANDS, F.col("half"))).alias("first"), F.collect_list(F.when(F.col("band") >= BANDS, F.col("half"))).alias("second")
     )
     members = held.select("node", "n", F.explode("first").alias("a"), "second").select("node", "n", "a", F.explode("second").alias("b")).select("node", "n", F.xxhash64("a", "b").alias("key"))
-    pairs = materialise(_star(materialise(members, "neardup-members"), ["key"], False), "neardup-pairs")
+    pairs = materialise(_pairs(materialise(members, "neardup-members"), ["key"], False), "neardup-pairs")
     met = pairs.select("node").union(pairs.select("hub")).distinct()
-    sets = materialise(_sets(docs, nodes.join(met, "node", "left_semi").select("node", "rep")), "neardup-sets")
-    size = nodes.select("node", "n")
-    done = links = None
+    met = materialise(nodes.join(met, "node", "left_semi").select("node", "rep", "n", "keys"), "neardup-met")
+    sets = materialise(_sets(docs, met.select("node", "rep")), "neardup-sets")
+    labels = met.select("node", F.col("node").alias("label"))
+    done = None  # every pair compared, and whether as hub and member
     while True:
-        new = materialise(_compare(pairs, sets, False).withColumnRenamed("out", "linked"), "neardup-compared")
-        links = new.where("linked") if links is None else links.union(new.where("linked"))
-        labels = connected(links)
-        done = new if done is None else done.union(new)
-        # Of the newly compared: hubs whose members, or itself, still lie in different components.
-        labelled = new.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = labelled.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("k > 1 and lo <> hi").select("hub")
-        left = materialise(labelled.join(materialise(split, "neardup-split"), "hub").select("node", "hub", "linked", "label"), "neardup-unresolved")
+        new = materialise(_compare(pairs, sets, False).withColumnRenamed("out", "linked").join(pairs, ["node", "hub"]), "neardup-compared")
+        labels = _merged(labels, new.where("linked"))
+        done = new if done is None else materialise(done.union(new).groupBy("node", "hub").agg(F.max("linked").alias("linked"), F.max("big").alias("big")), "neardup-done")
+        # Hubs that got members now, with all their members, if some still lie in different components.
+        grown = materialise(new.where("big").select("hub").distinct(), "neardup-grown")
+        large = done.where("big").join(grown, "hub").join(labels, "node")
+        of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        split = large.join(of_hub, "hub").groupBy("hub").agg(F.max(F.col("label") != F.col("hub_label")).alias("open"), F.count("*").alias("k")).where("k > 1 and open").select("hub")
+        left = materialise(large.join(materialise(split, "neardup-split"), "hub").select("node", "hub", "linked", "label"), "neardup-unresolved")
         if not left.limit(1).count():
             break
-        parts = _compare(left, sets, True).select("node", F.col("hub").alias("inside"), F.explode("out").alias("shingle"))
-        again = materialise(parts, "neardup-residual").join(left.select("node", "label").distinct(), "node").join(size, "node")
-        pairs = materialise(_star(again, ["inside", "shingle"], True).join(done.select("node", "hub"), ["node", "hub"], "left_anti"), "neardup-pairs")
+        parts = materialise(_compare(left, sets, True).select("node", F.col("hub").alias("inside"), "least", F.explode("out").alias("shingle")), "neardup-residual")
+        # Sizes that allow a link lie in the same class or in neighbouring ones; each node stands in two, so that they meet.
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
+        of_node = materialise(met.select("node", "n").join(labels, "node"), "neardup-sizes")
+        again = _viable(parts.join(of_node, "node").withColumn("class", F.explode(F.array(size, size + 1))))
+        found = materialise(_pairs(again, ["inside", "shingle", "class"], True, met), "neardup-found")
+        was = done.select("node", "hub", F.col("big").alias("was"))
+        pairs = materialise(found.join(was, ["node", "hub"], "left").where("was is null or (big and not was)").select("node", "hub", "big"), "neardup-pairs")
         if not pairs.limit(1).count():
             break
     labelled = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -221,10 +278,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Of rows that repeat that id one stays. Rows without words are components of their own and all stay.
     """
     found = materialise(components(docs), "neardup-result")
-    kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    out = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    once = out.where("copies = 1").select(*docs.columns)
-    return once.union(out.where("copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    kept = materialise(found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__copies")), "neardup-kept")
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    once = out.where("__copies = 1").select(*docs.columns)
+    return once.union(out.where("__copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,4 +289,15 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_near_duplicates": op6_near_duplicates}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_near_duplicates": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') sh from (select doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) i from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)),
+r(doc_id, c) as (select doc_id, doc_id from documents union select l.y, r.c from r join l on l.x = r.doc_id),
+m as (select doc_id, min(c) component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0) n_shingles, component_id, d.doc_id = component_id kept from documents d join m using (doc_id) left join n using (doc_id)
+"""
+}
