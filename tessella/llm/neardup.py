@@ -15,8 +15,8 @@ and y needs. So members of a hub that still lie in different components meet aga
 the hub, class of size). Of them x and y share ``n(x) = 3/7 (|x| + max(|h|, 3/4 |x|)) - |x & h|`` at least, and n(y). So x
 needs only its first ones, in the order of hashes, all but ``3/4 n(x)``: the pair shares a quarter of the larger n among those of
 both, and a node that shares fewer than its own quarter with other components is done with this hub. The buckets are
-compared in the same two ways, and so on until nothing new has to be compared. This finds every link that some table contains; rows grow in proportion to members,
-never with the square of a bucket.
+compared in the same two ways, and so on until nothing new has to be compared. This finds every link that some table
+contains; rows grow in proportion to members, never with the square of a bucket.
 
 Defined results: null or empty texts, and texts without words, have empty sets, link with nothing and form a component of
 their own; rows of one id and equal text are one class; rows of one id and different texts stay different nodes; a
@@ -41,7 +41,7 @@ WORDS = 5
 BANDS = 16  # m
 ROWS = 3  # r
 SMALL = 8  # members of a table's bucket that is compared without a hub
-SMALL_REST = 64  # the same for buckets of shingles outside a hub, whose pairs have to meet in a table besides
+SMALL_REST = 256  # the same for buckets of shingles outside a hub, whose pairs have to meet in a table besides
 _LOW = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,6 +204,7 @@ def _pairs(members: DataFrame, key: list[str], unresolved: bool, nodes: DataFram
     large = members.join(hubs.where(F.col("k") > small), key).where("node <> hub").select("node", "hub", F.lit(True).alias("big"))
     few = members.join(hubs.where(F.col("k") <= small).select(*key), key)
     few = few.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("n", "node", F.col(differ).alias("of")))).alias("all"))
+    few = few.select("all").distinct()  # the shingles of one passage have the same nodes
     few = few.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y < F.col("x"))).alias("y"))
     few = few.select(F.col("x.node").alias("node"), F.col("y.node").alias("hub"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x.of") != F.col("y.of")).alias("apart"))
     few = few.where(_fits("n", "m") & F.col("apart")).select("node", "hub", F.lit(False).alias("big"))
