@@ -24,13 +24,17 @@ from .common import materialise, table
 from .spans import NO_SPANS, listed, places, replaced
 
 # The contract's three patterns. Runs of 32 or more take the place of a length check where it is the same.
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_NAMES = "password|passwd|secret|token|api_?key"
+_ACCOUNT_NAMES = "user|username|login|account|client_id|access_id"
+_IS = r"""["']?\x20*[:=]"""
+ASSIGN = rf"""((?i:{_SECRET_NAMES})){_IS}\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-ACCOUNT = r"""(?i:\b(?:user|username|login|account|client_id|access_id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
+ACCOUNT = rf"""(?i:\b(?:{_ACCOUNT_NAMES})){_IS}\x20*["']?[A-Za-z0-9@_.-]{{3,}}"""
 MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"(?:https?|ftp|jdbc|postgres|mysql|redis|amqp|s3)://[^\x00-\x20\"'<>]+"
-GATE = r"(?i:password|passwd|secret|token|api_?key|user|login|account|client_id|access_id)[\"']?\x20*[:=]|AKIA|(?<![0-9a-f])[0-9a-f]{32}|://"
+# Wider than any part that can be reported; made of the same names, so that it can't be narrower. A mixed token alone never is.
+GATE = rf"(?i:{_SECRET_NAMES}|{_ACCOUNT_NAMES}){_IS}|AKIA|(?<![0-9a-f])[0-9a-f]{{32}}|://"
 
 KINDS = ["assign", "access", "hex", "account", "mixed", "endpoint"]
 SECRETS, IDENTIFIERS = [0, 2, 4], [1, 3, 5]

@@ -60,6 +60,35 @@ def test_weak_parts_need_a_partner(spark):
     assert clean[0] == texts[0] and clean[3] == "[SECRET] and [SECRET]" and clean[6] == "[SECRET] [SECRET]"
 
 
+def plain_spans(t, reach=240):
+    """All that is reported, without a gate and without blocks."""
+    t, base = t or "", plain_base(t)
+    account = r"""(?i:\b(?:user|username|login|account|client_id|access_id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
+    mixed = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}"
+    endpoint = r"(?:https?|ftp|jdbc|postgres|mysql|redis|amqp|s3)://[^\x00-\x20\"'<>]+"
+    weak = [(m.start(), k, m.end()) for k, p in ((3, account), (4, mixed), (5, endpoint)) for m in re.finditer(p, t)]
+    near = lambda s: any((k in (0, 2, 4)) != (s[1] == 4) and abs(a - s[0]) <= reach for a, k, _ in base + weak)
+    return sorted({*base, *(s for s in weak if near(s))})
+
+
+def test_no_name_is_kept_out_by_the_gate(spark):
+    token = "Zx81kQmPz7Lw02NfTq9aBc"
+    names = ["user", "username", "login", "account", "client_id", "access_id", "UserName"]
+    texts = [f"{n}: deploy-bot pwd {token}" for n in names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.report(docs).orderBy("doc_id").collect()
+    assert [r.n_linked for r in got] == [2] * len(names) and [r.spans for r in got] == [listed(plain_spans(t)) for t in texts]
+    assert {r.text for r in secrets.redact(docs).collect()} == {"[SECRET] pwd [SECRET]"}
+
+
+def test_linked_spans_of_the_table(spark):
+    docs = pd.read_parquet(f"{D}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op1_secrets(spark, D).collect()}
+    for k, t in zip(docs.doc_id, docs.text, strict=True):
+        want = plain_spans(t)
+        assert got[k].spans == listed(want) and got[k].n_linked == len(want) - len(set(plain_base(t)))
+
+
 def test_redact_keeps_columns_and_rows(spark):
     docs = spark.createDataFrame([(1, "token = \"" + "a1" * 20 + "\" end", 60, "x"), (2, None, None, "y"), (None, "fine", 4, "z")], "doc_id long, text string, n_chars long, base string")
     got = secrets.redact(docs)
