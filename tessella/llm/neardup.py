@@ -87,8 +87,13 @@ def half_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> n
     return out
 
 
+def _text_key() -> Column:
+    """A digest of the text as it stands; with the id it tells rows apart, but for those that repeat both."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null for empty sets) and keys of each row."""
+    """doc_id, n_shingles, node (a digest of the set; null for empty sets), keys and text_key of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in pieces(batches, "text", 2 << 20):
@@ -100,11 +105,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                     keys[k] = row
             node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "keys"],
+                [rb.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), rb.column("text_key")],
+                ["doc_id", "n_shingles", "node", "keys", "text_key"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, keys array<long>")
+    wanted = docs.select("doc_id", "text", _text_key().alias("text_key"))
+    return wanted.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, keys array<long>, text_key binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -224,11 +230,12 @@ def _viable(members: DataFrame) -> DataFrame:
     return materialise(open_.join(materialise(enough, "neardup-enough"), ["node", "inside"]), "neardup-viable")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and node, rep, first (the node's row of the smallest id, nulls last: none, doc_id, text_key) and label of each node."""
     rows = materialise(sketches(docs), "neardup-sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = materialise(
-        rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "neardup-nodes"
+        rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), first.alias("first")), "neardup-nodes"
     )
     # Bands that a single node has can't be half of a shared table key.
     halves = nodes.select("node", "n", F.posexplode("keys").alias("band", "half"))
@@ -265,7 +272,12 @@ def components(docs: DataFrame) -> DataFrame:
         pairs = materialise(found.join(was, ["node", "hub"], "left").where("was is null or (big and not was)").select("node", "hub", "big"), "neardup-pairs")
         if not pairs.limit(1).count():
             break
-    labelled = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows, nodes.select("node", "rep", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    rows, labelled = _labelled(docs)
     least = materialise(labelled.groupBy("label").agg(F.min("rep").alias("component_id")), "neardup-least")
     of_node = materialise(labelled.join(least, "label").select("node", "component_id"), "neardup-components")
     own = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -274,15 +286,20 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row of its smallest id; columns as they were.
+    """One document of each component: a row of its smallest id that isn't null, if it has one; columns as they were.
 
-    Of rows that repeat that id one stays. Rows without words are components of their own and all stay.
+    Rows are found again by id and text, never by the id alone, so texts that share an id, or have none, are judged each by
+    its own component. Of rows that repeat id and text one stays. Rows without words are components of their own and all stay.
     """
-    found = materialise(components(docs), "neardup-result")
-    kept = materialise(found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__copies")), "neardup-kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows, labelled = _labelled(docs)
+    firsts = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
+    copies = rows.where("node is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("__copies"))
+    kept = materialise(firsts.join(copies, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))).select("__id", "__key", "__copies"), "neardup-kept")
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = docs.where(words).withColumn("__text_key", _text_key()).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
     once = out.where("__copies = 1").select(*docs.columns)
-    return once.union(out.where("__copies > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    repeated = out.where("__copies > 1").dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    return once.union(repeated).union(docs.where(~words))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,18 @@ def test_empty_table_and_extra_columns(spark):
 def test_repeated_id_is_kept_once(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "q r s t u v w")], "doc_id long, text string")
     assert sorted(r.doc_id for r in neardup.deduplicate(docs).collect()) == [1, 2]
+
+
+def test_texts_are_kept_by_component_not_by_id(spark):
+    """Null ids, one id with texts of its own, an id that is kept in one component and lost in another, rows without words."""
+    base = [f"b{j}" for j in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    rows = [
+        (None, "a b c d e f g"), (None, "h i j k l m n"), (None, "h i j k l m n"), (None, "H I j k l m n"), (1, "o p q r s t u"), (1, "v w x y z a b"), (1, "v w x y z a b"),
+        (3, " ".join(base)), (5, near), (5, "its own text of this row"), (None, " ".join(base)), (None, None), (None, ""), (7, " \t"), (7, " \t"), (7, "c c d d e e"), (7, "C c d d e e"),
+    ]
+    docs = spark.createDataFrame([(k, t, f"r{n}") for n, (k, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text) if r.text and r.text.strip() else (r.doc_id, "") for r in neardup.deduplicate(docs).collect() if r.doc_id is not None and r.doc_id != 7)
+    assert got == sorted([(1, "o p q r s t u"), (1, "v w x y z a b"), (3, " ".join(base)), (5, "its own text of this row")])
+    rest = [(r.doc_id, (r.text or "").strip().lower()) for r in neardup.deduplicate(docs).collect() if r.doc_id in (None, 7)]
+    assert sorted(rest, key=str) == sorted([(None, "a b c d e f g"), (None, "h i j k l m n"), (None, ""), (None, ""), (7, ""), (7, ""), (7, "c c d d e e")], key=str)
