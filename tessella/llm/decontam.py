@@ -10,7 +10,7 @@ automaton; a larger benchmark is split into blocks of that size, each scanned ov
 what the blocks find is united per row.
 
 Defined results: null or empty texts have no words and are clean; items without words never match; items that
-share a window all count; repeated documents give repeated rows; with an empty benchmark nothing is hit; extra
+share a window all count; items without an id hit words like any other, but stand in no list of items and aren't counted there; repeated documents give repeated rows; with an empty benchmark nothing is hit; extra
 columns are ignored by :func:`scan` and kept by :func:`decontaminate`.
 """
 
@@ -50,11 +50,13 @@ def windows(words: list[bytes], size: int = WINDOW) -> set[bytes]:
 class Automaton:
     """All windows of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW) -> None:
         owners: dict[bytes, set[str]] = defaultdict(set)
         for item, text in items:
             for w in windows(words_of(text), size):
-                owners[w].add(item)
+                own = owners[w]
+                if item is not None:
+                    own.add(item)
         self.machine = ahocorasick.Automaton()
         for w, own in owners.items():
             # latin-1 keeps one character a byte, so offsets in the scanned string are byte offsets
@@ -93,14 +95,14 @@ def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(int(chars[edges[2 * a]]), int(chars[edges[2 * b - 1]])) for a, b in ranges]
 
 
-def _blocks(benchmark: DataFrame, max_pattern_bytes: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, max_pattern_bytes: int) -> list[list[tuple[str | None, str]]]:
     """The benchmark, a query set, in blocks whose patterns stay below the bound.
 
     Each item of n bytes makes at most about 11 n bytes of patterns. Items come one partition at a time.
     """
-    blocks: list[list[tuple[str, str]]] = [[]]
+    blocks: list[list[tuple[str | None, str]]] = [[]]
     held = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).where("i is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).toLocalIterator():
         cost = (WINDOW + 1) * len(row.t.encode())
         if blocks[-1] and held + cost > max_pattern_bytes:
             blocks.append([])

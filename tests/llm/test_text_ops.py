@@ -135,6 +135,19 @@ def test_decontamination(spark):
     assert decontam.decontaminate(odd(spark), bench).columns == odd(spark).columns
 
 
+def test_items_without_an_id_hit_words(spark):
+    items = [(None, "alpha beta gamma"), (7, "delta epsilon zeta"), (None, None)]
+    texts = ["x alpha beta gamma y", "delta epsilon zeta", "alpha beta gamma delta epsilon zeta", "clean"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    none, seven = (hashlib.sha256(x).hexdigest() for x in (b"", b"7"))
+    got = [tuple(r)[2:] for r in decontam.report(docs, bench).orderBy("doc_id").collect()]
+    assert got == [(3, 0, none, True), (3, 1, seven, True), (6, 1, seven, True), (0, 0, none, False)]
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [3]
+    blocks = decontam.scan(docs, bench, max_pattern_bytes=50).orderBy("doc_id").collect()
+    assert [(sum(x["end"] - x["first"] for x in r.ranges), list(r["items"])) for r in blocks] == [(3, []), (3, ["7"]), (6, ["7"]), (0, [])]
+
+
 def test_language(spark, docs):
     got = langid.op9_language_id(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet")[["doc_id", "lang"]], on="doc_id")
     held = got[got.held_out]
