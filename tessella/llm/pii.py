@@ -5,6 +5,11 @@ and replaced. A surrogate is a keyed digest of the entity's normal form spelled
 become digits and letters letters of the same case and script, separators stay; octets of an address stay below 256, card
 numbers keep a valid check digit if they had one, and persons get a name of the gender that the title tells.
 
+Phone numbers are found in these forms: ``+`` or ``00`` and a country code with groups of 2 to 4 digits, or one digit and four
+pairs; North American numbers of 3, 3 and 4 digits; French ones of five pairs; Spanish ones of nine digits in groups; German and
+British ones with a leading 0, an area of 3 to 6 digits in all and a subscriber of 4 digits or more. National numbers without any separator are found only
+if they are French (ten digits from 0 on), and a number's national and international spelling count as two entities.
+
 The same entity gets the same surrogate everywhere (coreference); an attempt number, part of the digest, keeps different
 entities apart: all surrogates are compared, with each other and with the entities that occur, and those that collide, but for
 the smallest entity of each, try again. An entity that collides after ``RELAXED`` attempts may take a longer form.
@@ -22,14 +27,30 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .spans import places, replaced
 
-KINDS = ["email", "phone", "ip", "card", "man", "woman"]
+KINDS = ["email", "phone", "ip", "card", "man", "woman", "national"]
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+_SEP = r"[ .\u00A0\u202F/-]"
+PHONE = (
+    r"(?<![0-9A-Za-z])\+(?:"
+    rf"[0-9]{{1,3}}{_SEP}?(?:\(0\){_SEP}?)?[1-9](?:{_SEP}?[0-9]{{2}}){{4}}(?![0-9])"  # an area of one digit and four pairs
+    rf"|[0-9]{{1,3}}{_SEP}?(?:\(0\){_SEP}?)?\(?[0-9]{{2,4}}\)?(?:{_SEP}?[0-9]{{2,4}}){{2,3}}(?![0-9]))"
+)
+_ABROAD = rf"00[1-9][0-9]{{0,2}}{_SEP}(?:\(0\){_SEP}?)?\(?[0-9]{{1,5}}\)?(?:{_SEP}?[0-9]{{2,4}}){{2,4}}(?![0-9A-Za-z])"  # 00 for +
+# Without a country code; a number that follows one is PHONE's. Separators inside a number of fixed groups are all the same.
+NATIONAL = (
+    r"(?<![0-9A-Za-z+])(?<!\+[0-9]{1,3}[ .\u00A0\u202F/-]?)(?<![0-9][.,])(?:"
+    rf"(?:1{_SEP})?(?:\([2-9][0-9]{{2}}\){_SEP}?|[2-9][0-9]{{2}}{_SEP})[0-9]{{3}}{_SEP}[0-9]{{4}}"  # North America
+    rf"|0[1-9]({_SEP}?)[0-9]{{2}}(?:\1[0-9]{{2}}){{3}}"  # France
+    r"|[6-9][0-9]{2}([ \u00A0\u202F-])(?:[0-9]{3}\2[0-9]{3}|[0-9]{2}\2[0-9]{2}\2[0-9]{2})|9[0-9]([ \u00A0\u202F-])[0-9]{3}\3[0-9]{2}\3[0-9]{2}"  # Spain
+    rf"|\(?0[1-9][0-9]{{1,4}}(?:\) ?/? ?| ?[/-] ?|{_SEP})[0-9]{{2,4}}(?:{_SEP}?[0-9]{{2,4}}){{1,3}}"  # Germany, United Kingdom
+    rf"|{_ABROAD}"
+    r")(?![0-9A-Za-z])"
+)
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+CARD = rf"(?<![0-9])(?!{_ABROAD})" + r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 MAN = r"(?<=\b(?:Mr|Herr|Monsieur|Señor|Sr)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
 WOMAN = r"(?<=\b(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
-GATE = r"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[ -]?[0-9]){12}|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Sra?)\.? \p{Lu}"
+GATE = r"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[^0-9A-Za-z]{0,4}[0-9]){7}|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Sra?)\.? \p{Lu}"
 _MEN = ["James", "Robert", "Lukas", "Felix", "Pierre", "Julien", "Diego", "Carlos", "Oscar", "Victor", "Hugo", "Martin", "Simon", "Leon", "Pablo", "Adam"]
 _WOMEN = ["Mary", "Anna", "Julia", "Clara", "Marie", "Camille", "Lucia", "Elena", "Sofia", "Laura", "Alice", "Emma", "Nora", "Ines", "Paula", "Eva"]
 _FAMILY = ["Archer", "Baker", "Castro", "Dubois", "Ebert", "Fischer", "Garnier", "Hansen", "Ibarra", "Jensen", "Keller", "Lambert", "Moreno", "Navarro", "Olsen", "Perrin"]
@@ -50,7 +71,7 @@ def _digits(x: Column) -> Column:
 
 def normal(kind: Column, raw: Column) -> Column:
     """What two mentions of one entity have in common."""
-    return F.when(kind == 0, F.lower(raw)).when((kind == 1) | (kind == 3), _digits(raw)).otherwise(raw)
+    return F.when(kind == 0, F.lower(raw)).when((kind == 1) | (kind == 3) | (kind == 6), _digits(raw)).otherwise(raw)
 
 
 def _digest(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -148,6 +169,7 @@ def _from_digest(h: Column, kind: Column, raw: Column, norm: Column, attempt: Co
     country = F.length(F.regexp_extract(norm, "^(1|7|[2-9][0-9])", 1))
     return (
         F.when(kind == 0, email).when(kind == 1, _in_format(raw, _spelled(norm, h, country))).when(kind == 2, _octets(raw, h, attempt))
+        .when(kind == 6, _in_format(raw, _spelled(norm, h, F.length(F.regexp_extract(norm, "^(0*)", 1)))))
         .when(kind == 3, _in_format(raw, _card(norm, h))).when(kind == 4, _person(raw, h, attempt, _MEN)).otherwise(_person(raw, h, attempt, _WOMEN))
     )
 
@@ -173,7 +195,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     docs = docs.select(*names)
     text = F.coalesce(F.col("text"), F.lit(""))
     gated = materialise(docs.where(text.rlike(GATE)).withColumn("__row", F.monotonically_increasing_id()), "pii-gated")
-    patterns = [EMAIL, PHONE, IP, CARD, MAN, WOMAN]
+    patterns = [EMAIL, PHONE, IP, CARD, MAN, WOMAN, NATIONAL]
     found = F.array_sort(F.concat(*(places(F.col("text"), p, k) for k, p in enumerate(patterns))))
     spans = gated.select(F.col("__row").alias("row"), "text", F.explode(found).alias("s"))
     raw = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
@@ -187,7 +209,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     by_row = materialise(new.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list("s")).alias("s")).select("__row", own.alias("__found")), "pii-by-row")
     some = gated.join(by_row, "__row", "left").withColumn("__found", F.coalesce("__found", none))
     count = lambda *k: F.size(F.filter("__found", lambda s: s["kind"].isin(*k))).cast("long")
-    tail = [count(*k).alias(c) for c, k in zip(counts, [(0,), (1,), (2,), (3,), (4, 5)], strict=True)]
+    tail = [count(*k).alias(c) for c, k in zip(counts, [(0,), (1, 6), (2,), (3,), (4, 5)], strict=True)]
     some = some.select(*names, "__found", *tail).withColumn("text", replaced(F.col("text"), F.col("__found"), lambda s: s["new"]))
     if "n_chars" in names:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

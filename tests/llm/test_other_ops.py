@@ -123,6 +123,41 @@ def test_surrogates(spark):
     assert other[2].text != new[2]
 
 
+PHONES = [
+    "(743) 555-3824", "743-555-3824", "743.555.3824", "1-743-555-3824", "+1 (743) 555-3824", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "0123456789", "01\u00a023\u00a045\u00a067\u00a089",
+    "030 1234567", "(030) 123456", "030/1234567", "0171-1234567", "030 / 12 34 56", "+49 30 12345678", "+49 (0)30 1234567", "0049 30 1234567", "0033 1 23 45 67 89",
+    "612 345 678", "612 34 56 78", "91 123 45 67", "+34 612 345 678", "+34 91 123 45 67", "020 7946 0958", "07700 900123", "+44 20 7946 0958",
+]
+NOT_PHONES = ["01-02-2024 10:30", "2024-01-15", "3.14159265358", "12 345 678", "1bac4d15ec8f90433955bf9d3", "1.234.567,89", "612.345.678"]
+
+
+def test_phone_numbers_in_their_usual_spelling(spark):
+    rows = list(enumerate([f"call {p} now" for p in PHONES] + [f"see {t} there" for t in NOT_PHONES] + ["743-555-3824 or (743) 555-3824"]))
+    out = [tuple(r) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    shape = lambda t: re.sub(r"[0-9]", "d", t)
+    for (_, text), (_, new, _, n, _, _, _) in zip(rows, out[: len(PHONES)], strict=False):
+        assert n == 1 and shape(new) == shape(text) and new != text, text
+        assert re.search(r"[0-9].*[0-9]", new)[0][-4:] != re.search(r"[0-9].*[0-9]", text)[0][-4:], text
+    k = len(PHONES)
+    assert [(r[1], r[3]) for r in out[k:-1]] == [(t, 0) for _, t in rows[k:-1]]
+    a, b = (re.sub(r"\D", "", x) for x in out[-1][1].split(" or "))
+    assert a == b != "7435553824" and out[-1][3] == 2
+
+
+def test_surrogates_of_the_table(spark):
+    """Counts of a plain version, and everything around the entities as it was."""
+    docs = pd.read_parquet(f"{D}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op8_surrogates(spark, D).collect()}
+    email, phone = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"(?<![0-9A-Za-z])\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+    assert sorted(got) == sorted(docs.doc_id)
+    for k, t in zip(docs.doc_id, docs.text, strict=True):
+        r = got[k]
+        assert (r.n_email, r.n_phone) == (len(re.findall(email, t or "")), len(re.findall(phone, t or "")))
+        assert not {*re.findall(email, t or ""), *re.findall(phone, t or "")} & {*re.findall(email, r.text or ""), *re.findall(phone, r.text or "")}
+        if not r.n_email + r.n_phone + r.n_ip + r.n_card + r.n_person:
+            assert r.text == t
+
+
 def test_surrogates_stay_distinct(spark):
     """All 100 addresses of a tiny space: no two entities share a surrogate, and none is another's original."""
     ips = [f"1.1.{a}.{b}" for a in range(10) for b in range(10)]
