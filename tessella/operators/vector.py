@@ -95,7 +95,7 @@ def segment_clip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of each track inside a narrow band around its middle."""
+    """Runs of each track inside a narrow band around its middle, without its segments of seq 3 modulo 7, as in the SQL."""
     e = geom.segments(fx.tracks(spark, d), ["fid"])
     c = geom.clip_segments(e, -400.0, -70.05, 400.0, 40.0).where("pmod(seq, 7) <> 3")
     return geom.line_runs(c, ["fid"]).groupBy("fid", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
