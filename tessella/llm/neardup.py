@@ -6,17 +6,13 @@ i of the first collection with band j of the second, so ``m * m`` tables of ``2
 of ``2 m m r``. With r = 3 and m = 16 a pair of similarity 0.75 meets in some table with probability
 ``(1 - (1 - 0.75**3)**16)**2``, over 0.9996, and one of 0.8 with over 0.9999.
 
-A bucket of at most ``SMALL`` members compares each member with the few others of fitting size (``SMALL_REST`` further down,
-where pairs that meet in no table are left out). A larger bucket never
-emits its pairs: it has a hub, its smallest set, and every member is compared with the hub on full sets. Two members x and
-y that don't both link to their hub h can only link with each other if they share shingles outside h: as h is the smallest,
-``|y| >= |h|``, and if x doesn't link to h then ``|x & h| < 3/7 (|x| + |h|) <= 3/7 (|x| + |y|)``, the overlap that a link of x
-and y needs. So members of a hub that still lie in different components meet again in buckets of (hub, shingle outside
-the hub, class of size). Of them x and y share ``n(x) = 3/7 (|x| + max(|h|, 3/4 |x|)) - |x & h|`` at least, and n(y). So x
-needs only its first ones, in the order of hashes, all but ``3/4 n(x)``: the pair shares a quarter of the larger n among those of
-both, and a node that shares fewer than its own quarter with other components is done with this hub. The buckets are
-compared in the same two ways, and so on until nothing new has to be compared. This finds every link that some table
-contains; rows grow in proportion to members, never with the square of a bucket.
+A bucket of at most ``DIRECT`` members compares them with each other, those of fitting size. A larger bucket never emits its
+pairs. Larger buckets that share members form a group (one more run of :func:`connected`); a group of more than ``GROUP`` members
+is left in its buckets instead, each a group. A group has a hub, the member of most large buckets, and every member is compared with
+it on full sets. That settles the bulk of near copies. Groups that still hold several components are settled in blocks of about
+``BLOCK`` members: each pair of blocks is one small task that counts all overlaps at once and returns a spanning set of links,
+and pairs of blocks of one component are left out. So every pair that meets in some table is settled on full sets, whatever
+its bucket's size, in two steps of comparing; rows that are moved grow with a group's members times its blocks outside the main component.
 
 Defined results: null or empty texts, and texts without words, have empty sets, link with nothing and form a component of
 their own; rows of one id and equal text are one class; rows of one id and different texts stay different nodes; a
@@ -26,7 +22,6 @@ and ignored by :func:`components`.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces, table, texts_of
+from .common import discard, materialise, pieces, table, texts_of
 
 WORDS = 5
 BANDS = 16  # m
 ROWS = 3  # r
-SMALL = 8  # members of a table's bucket that is compared without a hub
-SMALL_REST = 256  # the same for buckets of shingles outside a hub, whose pairs have to meet in a table besides
+DIRECT = 64  # members of a bucket that are compared with each other
+GROUP = 1 << 16  # members of large buckets that are settled together
+BLOCK = 256  # members of a block
+_COLUMNS = 4096  # shingles whose overlaps are counted at a time
 _LOW = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,35 +124,85 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, residual: bool) -> DataFrame:
-    """Of (node, hub) pairs: whether they link or, if ``residual``, the node's shingles of which partners beside the hub must share ``least``."""
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The linked ones of ``pairs`` (node, hub), on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in pieces(batches, "set", 4 << 20):
-            out, leasts = [], []
-            for x, h, on in zip(rb.column("set").to_pylist(), rb.column("hub_set").to_pylist(), rb.column("linked").to_pylist(), strict=True):
+            on = []
+            for x, h in zip(rb.column("set").to_pylist(), rb.column("hub_set").to_pylist(), strict=True):
                 x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
-                at = np.searchsorted(h, x)
-                inside = h[np.minimum(at, len(h) - 1)] == x
-                both = int(inside.sum())
-                if not residual:
-                    out.append(100 * both >= 75 * (len(x) + len(h) - both))
-                    continue
-                rest, least = x[~inside], 1
-                if not on:
-                    # 3/7 (|x| + max(|h|, 3/4 |x|)) - both, rounded up
-                    need = max(1, -(-3 * max(4 * len(x) + 4 * len(h), 7 * len(x)) // 28) - both)
-                    least = -(-need // 4)
-                    rest = rest[: max(0, len(rest) - need + least)]
-                out.append(rest.view(np.int64))
-                leasts.append(least)
-            columns = [rb.column("node"), rb.column("hub"), pa.array(out, pa.list_(pa.int64()) if residual else pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(leasts, pa.int32())] if residual else [])], ["node", "hub", "out", *(["least"] if residual else [])])
-
-    if "linked" not in pairs.columns:
-        pairs = pairs.withColumn("linked", F.lit(False))
+                both = int(np.count_nonzero(h[np.minimum(np.searchsorted(h, x), len(h) - 1)] == x))
+                on.append(100 * both >= 75 * (len(x) + len(h) - both))
+            yield rb.select(["node", "hub"]).filter(pa.array(on, pa.bool_()))
+
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub")
-    return both.select("node", "hub", "linked", "set", "hub_set").mapInArrow(run, "node binary, hub binary, out " + ("array<long>, least int" if residual else "boolean"))
+    return both.select("node", "hub", "set", "hub_set").mapInArrow(run, "node binary, hub binary")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``."""
+    sizes = [len(s) for s in (*left, *right)]
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, counts = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    of, column = of[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    column = np.cumsum(np.r_[0, np.diff(column) > 0]) if len(column) else column
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + _COLUMNS])
+        held = np.zeros((len(sizes), _COLUMNS), np.float32)
+        held[of[lo:hi], column[lo:hi] - start] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _settled(rows: pa.Table) -> pa.Table:
+    """A spanning set of the links (node, hub) between components, of one pair of blocks (node, label, first, second, set)."""
+    node, label = rows.column("node").to_pylist(), rows.column("label").to_pylist()
+    sets = [np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()]
+    first, second = (np.flatnonzero(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("first", "second"))
+    size = np.array([len(s) for s in sets])
+    both = overlaps([sets[k] for k in first], [sets[k] for k in second])
+    number = {x: k for k, x in enumerate(dict.fromkeys(label))}
+    part = np.array([number[x] for x in label])
+    linked = (100 * both >= 75 * (size[first][:, None] + size[second][None, :] - both)) & (part[first][:, None] != part[second][None, :])
+    root = list(range(len(number)))
+    out: tuple[list, list] = [], []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = part[first[i]], part[second[j]]
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out[0].append(node[first[i]])
+            out[1].append(node[second[j]])
+    return pa.table({"node": pa.array(out[0], pa.binary()), "hub": pa.array(out[1], pa.binary())})
+
+
+def _between(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, hub) links between components inside ``groups`` (group, node), block by block; the tasks' links span what they join."""
+    held = materialise(groups.join(labels, "node"), "neardup-held")
+    parts = held.groupBy("group", "label").agg(F.count("*").alias("k"))
+    open_ = parts.groupBy("group").agg(F.count("*").alias("parts")).where("parts > 1").select("group")
+    parts = parts.join(open_, "group").select("group", "label", F.when(F.col("k") >= BLOCK, F.col("label")).alias("own"), "k")
+    # A component of at least a block has blocks of its own; the others share blocks.
+    pools = parts.groupBy("group", "own").agg(F.ceil(F.sum("k") / BLOCK).alias("blocks"))
+    pools = materialise(pools.withColumn("own", F.coalesce("own", F.lit(b""))), "neardup-pools")
+    own = parts.select("group", "label", F.coalesce("own", F.lit(b"")).alias("own"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    placed = materialise(held.join(own, ["group", "label"]).join(pools, ["group", "own"]).select("group", "node", "label", F.struct("own", block.alias("i")).alias("block")), "neardup-placed")
+    blocks = pools.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "own").select("group", F.struct("own", "i").alias("block"))
+    a, b = blocks.withColumnRenamed("block", "p"), blocks.withColumnRenamed("block", "q")
+    mixed = (F.col("p.own") != F.col("q.own")) | (F.col("p.own") == F.lit(b""))
+    pairs = materialise(a.join(b, "group").where((F.col("p") <= F.col("q")) & mixed), "neardup-block-pairs")
+    sides = pairs.select("group", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+    rows = sides.join(placed, ["group", "block"]).select("group", "p", "q", "node", "label", (F.col("block") == F.col("p")).alias("first"), (F.col("block") == F.col("q")).alias("second"))
+    return rows.join(sets, "node").groupBy("group", "p", "q").applyInArrow(_settled, "node binary, hub binary")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -166,13 +213,15 @@ def connected(links: DataFrame) -> DataFrame:
     edges = materialise(links.select("node", "hub").union(links.select("hub", "node")).distinct(), "neardup-edges")
     labels = materialise(edges.groupBy("node").agg(F.least(F.col("node"), F.min("hub")).alias("label")), "neardup-labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("hub"), "label"), "hub").select("node", "label")
-        spread = materialise(near.union(labels).groupBy("node").agg(F.min("label").alias("label")), "neardup-labels")
-        over = spread.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = materialise(spread.join(over, "label").select("node", F.col("next").alias("label")), "neardup-labels")
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
+        own = labels.select("node", "label")
+        near = edges.join(own.withColumnRenamed("node", "hub"), "hub").select("node", "label", F.lit(None).cast("binary").alias("old"))
+        spread = near.union(own.withColumn("old", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        over = own.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = materialise(spread.join(over, "label").select("node", F.col("next").alias("label"), "old"), "neardup-labels")
+        discard(labels)
         labels = jumped
-        if not changed:
+        if not labels.where("label <> old").limit(1).count():
+            discard(edges)
             return labels
 
 
@@ -183,51 +232,33 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = materialise(between.select(F.col("node_label").alias("node"), F.col("hub_label").alias("hub")).distinct(), "neardup-between")
     if not between.limit(1).count():
         return labels
-    moved = connected(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
-
-
-def _fits(a: str, b: str) -> Column:
-    """Whether two sizes allow a similarity of 0.75."""
-    return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
-
+    moved = connected(between)
+    out = materialise(labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
+    discard(labels, between, moved)
+    return out
 
-def _meets(a: str, b: str) -> Column:
-    """Whether two nodes' bands share a table key: one band of either collection."""
-    halves = [F.arrays_overlap(F.slice(a, first, BANDS), F.slice(b, first, BANDS)) for first in (1, BANDS + 1)]
-    return halves[0] & halves[1]
 
+def _direct(few: DataFrame) -> DataFrame:
+    """(node, hub) of the pairs of fitting size in the buckets of ``few`` (key, node, n), all of at most ``DIRECT`` members."""
+    sets = few.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("n", "node"))).alias("all"))
+    pairs = sets.select("all").distinct()  # the tables that have the same nodes in a bucket
+    pairs = pairs.select("all", F.explode("all").alias("x"))
+    pairs = pairs.select("x", F.explode(F.filter("all", lambda y: (y < F.col("x")) & (y.n * 4 >= F.col("x.n") * 3))).alias("y"))
+    return pairs.select(F.col("x.node").alias("node"), F.col("y.node").alias("hub"))
 
-def _pairs(members: DataFrame, key: list[str], unresolved: bool, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, hub, big) to compare, from the buckets of ``members`` (key, node, n and, if ``unresolved``, label).
 
-    Buckets of one node, or of one component, are left out. ``big`` tells that the pair is of a hub and its member.
-    """
-    differ = "label" if unresolved else "node"
-    found = members.groupBy(*key).agg(F.min(F.struct("n", "node")).alias("least"), F.min(differ).alias("lo"), F.max(differ).alias("hi"), F.count("*").alias("k"))
-    hubs = materialise(found.where("lo <> hi").select(*key, F.col("least.node").alias("hub"), "k"), "neardup-hubs")
-    small = SMALL_REST if unresolved else SMALL
-    large = members.join(hubs.where(F.col("k") > small), key).where("node <> hub").select("node", "hub", F.lit(True).alias("big"))
-    few = members.join(hubs.where(F.col("k") <= small).select(*key), key)
-    few = few.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("n", "node", F.col(differ).alias("of")))).alias("all"))
-    few = few.select("all").distinct()  # the shingles of one passage have the same nodes
-    few = few.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y < F.col("x"))).alias("y"))
-    few = few.select(F.col("x.node").alias("node"), F.col("y.node").alias("hub"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x.of") != F.col("y.of")).alias("apart"))
-    few = few.where(_fits("n", "m") & F.col("apart")).select("node", "hub", F.lit(False).alias("big"))
-    if nodes is not None:
-        few = materialise(few.distinct(), "neardup-few")
-        few = few.join(nodes.select("node", "keys"), "node").join(nodes.select(F.col("node").alias("hub"), F.col("keys").alias("hub_keys")), "hub")
-        few = few.where(_meets("keys", "hub_keys")).select("node", "hub", "big")
-    return large.union(few).groupBy("node", "hub").agg(F.max("big").alias("big"))
-
-
-def _viable(members: DataFrame) -> DataFrame:
-    """Rows of (inside, shingle, class) buckets without nodes that share fewer than ``least`` shingles with other components."""
-    key = ["inside", "shingle", "class"]
-    found = members.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*key)
-    open_ = materialise(members.join(materialise(found, "neardup-open"), key), "neardup-shared")
-    enough = open_.groupBy("node", "inside", "least").agg(F.count_distinct("shingle").alias("k")).where("k >= least").select("node", "inside")
-    return materialise(open_.join(materialise(enough, "neardup-enough"), ["node", "inside"]), "neardup-viable")
+def _large(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, node) and (node, hub) of the large buckets' ``members`` (key, node, first)."""
+    links = materialise(members.select("node", F.col("first").alias("hub"), "key"), "neardup-large")
+    family = materialise(connected(links), "neardup-families") if links.limit(1).count() else links.select("node", F.col("node").alias("label"))
+    often = links.groupBy("node").agg(F.count("*").alias("often")).join(family, "node")
+    size = often.groupBy("label").agg(F.count("*").alias("size"))
+    group = F.when(F.col("size") <= GROUP, F.col("label")).otherwise(F.col("key").cast("string").cast("binary"))
+    groups = links.join(often, "node").join(size, "label").select(group.alias("group"), "node", "often").distinct()
+    groups = materialise(groups, "neardup-groups")
+    hubs = groups.groupBy("group").agg(F.max(F.struct("often", "node")).alias("most")).select("group", F.col("most.node").alias("hub"))
+    stars = groups.join(hubs, "group").where("node <> hub").select("node", "hub")
+    return groups.select("group", "node"), stars
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -244,34 +275,22 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.collect_list(F.when(F.col("band") < BANDS, F.col("half"))).alias("first"), F.collect_list(F.when(F.col("band") >= BANDS, F.col("half"))).alias("second")
     )
     members = held.select("node", "n", F.explode("first").alias("a"), "second").select("node", "n", "a", F.explode("second").alias("b")).select("node", "n", F.xxhash64("a", "b").alias("key"))
-    pairs = materialise(_pairs(materialise(members, "neardup-members"), ["key"], False), "neardup-pairs")
+    members = materialise(members, "neardup-members")
+    buckets = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("k")).where("first <> last")
+    buckets = materialise(buckets.select("key", "first", "k"), "neardup-buckets")
+    groups, stars = _large(members.join(buckets.where(F.col("k") > DIRECT), "key"))
+    pairs = _direct(members.join(buckets.where(F.col("k") <= DIRECT).select("key"), "key"))
+    pairs = materialise(pairs.union(stars).distinct(), "neardup-pairs")
+    discard(shared, members, buckets)
     met = pairs.select("node").union(pairs.select("hub")).distinct()
-    met = materialise(nodes.join(met, "node", "left_semi").select("node", "rep", "n", "keys"), "neardup-met")
-    sets = materialise(_sets(docs, met.select("node", "rep")), "neardup-sets")
-    labels = met.select("node", F.col("node").alias("label"))
-    done = None  # every pair compared, and whether as hub and member
-    while True:
-        new = materialise(_compare(pairs, sets, False).withColumnRenamed("out", "linked").join(pairs, ["node", "hub"]), "neardup-compared")
-        labels = _merged(labels, new.where("linked"))
-        done = new if done is None else materialise(done.union(new).groupBy("node", "hub").agg(F.max("linked").alias("linked"), F.max("big").alias("big")), "neardup-done")
-        # Hubs that got members now, with all their members, if some still lie in different components.
-        grown = materialise(new.where("big").select("hub").distinct(), "neardup-grown")
-        large = done.where("big").join(grown, "hub").join(labels, "node")
-        of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        split = large.join(of_hub, "hub").groupBy("hub").agg(F.max(F.col("label") != F.col("hub_label")).alias("open"), F.count("*").alias("k")).where("k > 1 and open").select("hub")
-        left = materialise(large.join(materialise(split, "neardup-split"), "hub").select("node", "hub", "linked", "label"), "neardup-unresolved")
-        if not left.limit(1).count():
-            break
-        parts = materialise(_compare(left, sets, True).select("node", F.col("hub").alias("inside"), "least", F.explode("out").alias("shingle")), "neardup-residual")
-        # Sizes that allow a link lie in the same class or in neighbouring ones; each node stands in two, so that they meet.
-        size = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
-        of_node = materialise(met.select("node", "n").join(labels, "node"), "neardup-sizes")
-        again = _viable(parts.join(of_node, "node").withColumn("class", F.explode(F.array(size, size + 1))))
-        found = materialise(_pairs(again, ["inside", "shingle", "class"], True, met), "neardup-found")
-        was = done.select("node", "hub", F.col("big").alias("was"))
-        pairs = materialise(found.join(was, ["node", "hub"], "left").where("was is null or (big and not was)").select("node", "hub", "big"), "neardup-pairs")
-        if not pairs.limit(1).count():
-            break
+    met = materialise(nodes.join(met, "node", "left_semi").select("node", "rep"), "neardup-met")
+    sets = materialise(_sets(docs, met), "neardup-sets")
+    links = materialise(_compare(pairs, sets), "neardup-links")
+    labels = materialise(_merged(met.select("node", F.col("node").alias("label")), links), "neardup-labels")
+    discard(pairs)
+    if groups.limit(1).count():
+        labels = _merged(labels, materialise(_between(groups, labels, sets), "neardup-block-links"))
+    discard(sets)
     return rows, nodes.select("node", "rep", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

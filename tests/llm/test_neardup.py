@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from tessella.llm import neardup
 
 
@@ -45,8 +47,8 @@ def check(spark, rows, columns="doc_id long, text string"):
 
 def test_large_groups_lose_no_link(spark, monkeypatch):
     """Buckets far above the bound, with members on both sides of the threshold, chains and variants of variants."""
-    monkeypatch.setattr(neardup, "SMALL", 3)
-    monkeypatch.setattr(neardup, "SMALL_REST", 5)
+    monkeypatch.setattr(neardup, "DIRECT", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = random.Random(5)
     rows, k = [], 0
     for _ in range(2):
@@ -100,3 +102,18 @@ def test_texts_are_kept_by_component_not_by_id(spark):
     assert got == sorted([(1, "o p q r s t u"), (1, "v w x y z a b"), (3, " ".join(base)), (5, "its own text of this row")])
     rest = [(r.doc_id, (r.text or "").strip().lower()) for r in neardup.deduplicate(docs).collect() if r.doc_id in (None, 7)]
     assert sorted(rest, key=str) == sorted([(None, "a b c d e f g"), (None, "h i j k l m n"), (None, ""), (None, ""), (7, ""), (7, ""), (7, "c c d d e e")], key=str)
+
+
+def test_overlaps_count_shared_shingles():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (0, 1, 30, 200, 350, 90)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:3]]
+    assert neardup.overlaps(sets[:3], sets[2:]).tolist() == want
+
+
+def test_a_group_above_the_bound_is_settled_in_its_buckets(spark, monkeypatch):
+    for name, value in (("DIRECT", 3), ("GROUP", 10), ("BLOCK", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(8)
+    base = [f"b{j}" for j in range(150)]
+    check(spark, [(k, edited(rng, base, k % 9)) for k in range(60)])
