@@ -35,7 +35,7 @@ from .common import discard, materialise, pieces, table, texts_of
 WORDS = 5
 BANDS = 16  # m
 ROWS = 3  # r
-DIRECT = 64  # members of a bucket that are compared with each other
+DIRECT = 16  # members of a bucket that are compared with each other
 GROUP = 1 << 16  # members of large buckets that are settled together
 BLOCK = 256  # members of a block
 _COLUMNS = 4096  # shingles whose overlaps are counted at a time
