@@ -208,21 +208,32 @@ def _between(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 def connected(links: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, of all nodes in ``links`` (node, hub).
 
-    Labels spread along links and then jump to their own label's label; both halve what is left of long chains.
+    Each node takes its smallest neighbour's smallest neighbour as label, and links are contracted to those between labels. At
+    least half of the nodes go each time, and all but one of a clique or star.
     """
-    edges = materialise(links.select("node", "hub").union(links.select("hub", "node")).distinct(), "neardup-edges")
-    labels = materialise(edges.groupBy("node").agg(F.least(F.col("node"), F.min("hub")).alias("label")), "neardup-labels")
+    edges, labels = materialise(links.select("node", "hub"), "neardup-edges"), None
     while True:
-        own = labels.select("node", "label")
-        near = edges.join(own.withColumnRenamed("node", "hub"), "hub").select("node", "label", F.lit(None).cast("binary").alias("old"))
-        spread = near.union(own.withColumn("old", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        over = own.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = materialise(spread.join(over, "label").select("node", F.col("next").alias("label"), "old"), "neardup-labels")
-        discard(labels)
-        labels = jumped
-        if not labels.where("label <> old").limit(1).count():
-            discard(edges)
+        near = edges.union(edges.select("hub", "node")).groupBy("node").agg(F.least(F.col("node"), F.min("hub")).alias("label"))
+        near = materialise(near, "neardup-near")
+        over = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        step = materialise(near.join(over, "label").select("node", F.col("next").alias("label")), "neardup-labels")
+        of = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        rest = edges.join(of("node"), "node").join(of("hub"), "hub").where("node_label <> hub_label")
+        rest = materialise(rest.select(F.col("node_label").alias("node"), F.col("hub_label").alias("hub")).distinct(), "neardup-rest")
+        if labels is None:
+            labels = step
+        else:
+            before, labels = labels, materialise(_moved(labels, step), "neardup-labels")
+            discard(before, step)
+        discard(near, edges)
+        if not rest.limit(1).count():
             return labels
+        edges = rest
+
+
+def _moved(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with labels replaced by their own label in ``moved``, if they have one."""
+    return labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -233,7 +244,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     if not between.limit(1).count():
         return labels
     moved = connected(between)
-    out = materialise(labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "neardup-labels")
+    out = materialise(_moved(labels, moved), "neardup-labels")
     discard(labels, between, moved)
     return out
 
@@ -250,7 +261,7 @@ def _direct(few: DataFrame) -> DataFrame:
 def _large(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(group, node) and (node, hub) of the large buckets' ``members`` (key, node, first)."""
     links = materialise(members.select("node", F.col("first").alias("hub"), "key"), "neardup-large")
-    family = materialise(connected(links), "neardup-families") if links.limit(1).count() else links.select("node", F.col("node").alias("label"))
+    family = materialise(connected(links.select("node", "hub").distinct()), "neardup-families") if links.limit(1).count() else links.select("node", F.col("node").alias("label"))
     often = links.groupBy("node").agg(F.count("*").alias("often")).join(family, "node")
     size = often.groupBy("label").agg(F.count("*").alias("size"))
     group = F.when(F.col("size") <= GROUP, F.col("label")).otherwise(F.col("key").cast("string").cast("binary"))
