@@ -11,13 +11,20 @@ from tessella import fixtures as fx
 from tessella.functions import geom
 
 W, H = 64, 48
-# Colour stops of the ramps, 0-255.
+# Colour stops of the ramps, from 0 to 1.
 RAMPS = {
-    "gray": [(0, 0, 0), (255, 255, 255)],
-    "viridis": [(68, 1, 84), (59, 82, 139), (33, 145, 140), (94, 201, 98), (253, 231, 37)],
-    "jet": [(0, 0, 128), (0, 0, 255), (0, 255, 255), (255, 255, 0), (255, 0, 0), (128, 0, 0)],
-    "turbo": [(48, 18, 59), (70, 134, 251), (27, 229, 181), (164, 252, 60), (251, 126, 33), (122, 4, 3)],
-}
+    "gray": [(0, 0, 0), (1, 1, 1)],
+    "viridis": [
+        (0.267, 0.005, 0.329), (0.282, 0.211, 0.522), (0.279, 0.347, 0.606), (0.219, 0.464, 0.556), (0.129, 0.562, 0.439), (0.153, 0.697, 0.375),
+        (0.420, 0.812, 0.242), (0.903, 0.951, 0.349), (0.997, 0.901, 0.685), (0.941, 0.733, 0.952), (0.969, 0.432, 0.882), (0.922, 0.381, 0.106),
+    ],
+    "jet": [(0, 0, 0.515), (0, 0, 1), (0, 0.5, 1), (0, 1, 1), (0.5, 1, 0.5), (1, 1, 0), (1, 0.5, 0), (1, 0, 0), (0.5, 0, 0)],
+    "turbo": [
+        (0.190, 0.050, 0.231), (0.314, 0.041, 0.466), (0.388, 0.256, 0.465), (0.428, 0.466, 0.374), (0.404, 0.680, 0.067), (0.000, 0.781, 0.208), (0.000, 0.848, 0.505),
+        (0.000, 0.877, 0.746), (0.000, 0.784, 0.935), (0.248, 0.649, 0.969), (0.471, 0.436, 0.067), (0.666, 0.820, 0.712), (0.906, 0.780, 0.188), (0.997, 0.728, 0.078),
+        (0.988, 0.636, 0.086), (0.797, 0.296, 0.106), (0.775, 0.096, 0.057), (0.969, 0.275, 0.043), (0.971, 0.561, 0.165), (0.998, 0.760, 0.248), (0.989, 0.895, 0.300),
+    ],
+}
 
 
 def band_stats(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -56,7 +63,7 @@ def ramp_color(t: Column, name: str) -> Column:
     """struct(r, g, b) of a place between 0 and 1, by linear interpolation between the stops."""
     stops = RAMPS[name]
     n = len(stops) - 1
-    table = F.array(*(F.array(*(F.lit(float(v)) for v in s)) for s in stops))
+    table = F.array(*(F.array(*(F.lit(v * 255.0) for v in s)) for s in stops))
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)) * n
     k = F.least(F.floor(x), F.lit(n - 1)).cast("int")
     f = x - k
@@ -212,7 +219,6 @@ _N9 = (
     "n as (select col-dc col, row_-dr row_, " + ", ".join(f"max(case when dr={r - 2} and dc={c - 2} then z end) z{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3))
     + " from dem, (values (-1),(0),(1)) a(dc), (values (-1),(0),(1)) b(dr) group by 1,2 having count(*)=9), g as (select col, row_, ((z13+2*z23+z33)-(z11+2*z21+z31))/8e0 dx, ((z31+2*z32+z33)-(z11+2*z12+z13))/8e0 dy from n)"
 )
-_JET = ", ".join(f"({k},{r}e0,{g}e0,{b}e0)" for k, (r, g, b) in enumerate(RAMPS["jet"]))
 ORACLE_SQL = {
     "raster_stats": f"with {fx.DEM_SQL} select count(z) n, min(z) lo, max(z) hi, round(avg(z),6) mean, round(stddev_pop(z),6) sd from dem",
     "raster_sample": f"""with {fx.SITES_SQL}, {fx.DEM_SQL}, s as (select fid, cast(floor((x+180e0)/5.625e0+0.5e0) as int) col, cast(floor((y-85e0)/(-170e0/48e0)+0.5e0) as int) row_ from sites)
@@ -222,7 +228,10 @@ ORACLE_SQL = {
     "raster_nearest": f"""with {fx.DEM_SQL}, c as (select cast(unnest(range(40)) as int) c2), r as (select cast(unnest(range(30)) as int) r2)
      select c2 col, r2 row_, z from c, r, dem where col=cast(floor((c2+0.5e0)*64/40e0) as int) and row_=cast(floor((r2+0.5e0)*48/30e0) as int)""",
     "raster_stretch": f"with {fx.DEM_SQL} select col, row_, {_STRETCH} v from dem",
-    "pseudocolor": f"""with {fx.DEM_SQL}, s(k,r,g,b) as (values {_JET}), t as (select col, row_, greatest(0e0,least(1e0,(z-20e0)/10e0))*5 x from dem), u as (select *, cast(least(floor(x),4) as int) k, x-least(floor(x),4) f from t)
+    # The stops of "jet" in 255ths of a channel, written out.
+    "pseudocolor": f"""with {fx.DEM_SQL}, s(k,r,g,b) as (values (0,0e0,0e0,131.325e0),(1,0e0,0e0,255e0),(2,0e0,127.5e0,255e0),(3,0e0,255e0,255e0),(4,127.5e0,255e0,127.5e0),
+      (5,255e0,255e0,0e0),(6,255e0,127.5e0,0e0),(7,255e0,0e0,0e0),(8,127.5e0,0e0,0e0)),
+     t as (select col, row_, greatest(0e0,least(1e0,(z-20e0)/10e0))*8 x from dem), u as (select *, cast(least(floor(x),7) as int) k, x-least(floor(x),7) f from t)
      select col, row_, cast(floor(a.r*(1-f)+c.r*f+0.5e0) as int) r, cast(floor(a.g*(1-f)+c.g*f+0.5e0) as int) g, cast(floor(a.b*(1-f)+c.b*f+0.5e0) as int) b from u join s a on a.k=u.k join s c on c.k=u.k+1""",
     "rgb_compose": f"""with {fx.DEM_SQL}, m as (select col, row_, 1 band, z from dem union all select cast((col+1)%64 as int), row_, 2, z from dem union all select col, cast((row_+1)%48 as int), 3, z from dem)
      select col, row_, coalesce(max(case when band=1 then {_STRETCH} end),0) r, coalesce(max(case when band=2 then {_STRETCH} end),0) g, coalesce(max(case when band=3 then {_STRETCH} end),0) b,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessella import fixtures as fx
 from tessella.functions import crs, geom, kernels
 from tessella.operators import raster
+from tessella.shared import shared_dir
 
 TRUE = ("1", "true", "TRUE", "yes", "on")
 
@@ -159,12 +160,15 @@ def buffer(layer: DataFrame, distance: float, endcap: str, join: str) -> DataFra
     return _map_rings(layer, work)
 
 
-@TOOLS.tool("vector:clip", "Clip", Arg("bbox", "list"), Arg("bbox_crs", "integer", 4326))
-def clip(layer: DataFrame, bbox: list | None, bbox_crs: int) -> DataFrame:
-    """Rings and lines inside a box; no box leaves the layer as it is."""
+@TOOLS.tool("vector:clip", "Clip", Arg("bbox", "list"), Arg("bbox_crs", "integer", 4326), Arg("layer_crs", "integer", 4326))
+def clip(layer: DataFrame, bbox: list | None, bbox_crs: int, layer_crs: int) -> DataFrame:
+    """Rings and lines inside a box, which is taken to the layer's system first; no box leaves the layer as it is."""
     if not bbox:
         return layer
     box = tuple(map(float, bbox))
+    if bbox_crs != layer_crs:
+        moved = crs.reproject_bbox(tuple(map(F.lit, box)), bbox_crs, layer_crs)
+        box = tuple(layer.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(moved, ("x0", "y0", "x1", "y1"), strict=True))).first())
     from tessella.plans.pyramid import clip_runs
 
     return _map_rings(layer, lambda r: [[*p, p[0]] for p in kernels.clip_polygon(r, *box)] if _closed(r) else clip_runs(r, *box))
@@ -259,15 +263,10 @@ def polygonize(cells: DataFrame, attribute_name: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared folder; a temporary one only where none is set."""
+    """Cut lineage in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place:
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="tessella-")
-        sc.setCheckpointDir(place)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

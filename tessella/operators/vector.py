@@ -95,9 +95,9 @@ def segment_clip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of each track inside a narrow band around its middle, without its segments of seq 3 modulo 7, as in the SQL."""
-    e = geom.segments(fx.tracks(spark, d), ["fid"])
-    c = geom.clip_segments(e, -400.0, -70.05, 400.0, 40.0).where("pmod(seq, 7) <> 3")
+    """Runs of each track inside a band that it leaves and enters again: the lower half of a tenth of a degree, taken as one unit."""
+    t = fx.tracks(spark, d).withColumn("y", F.col("y") * 10 - F.floor(F.col("y") * 10))
+    c = geom.clip_segments(geom.segments(t, ["fid"]), -400.0, -1.0, 400.0, 0.5)
     return geom.line_runs(c, ["fid"]).groupBy("fid", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -190,8 +190,9 @@ ORACLE_SQL = {
      select fid, 'POLYGON (('||string_agg(t, ', ' order by seq)||'))' wkt from v group by fid""",
     "segment_clip": f"""with {fx.TRACKS_SQL}, {_TRACK_EDGES_SQL}, win as (select -100e0 a, -40e0 b, 60e0 c, 35e0 e), {_CLIP_SQL}
      select fid, count(*) n, round(sum(sqrt(((t1-t0)*(x2-x1))*((t1-t0)*(x2-x1))+((t1-t0)*(y2-y1))*((t1-t0)*(y2-y1)))),6) length from cl where ok and t0<=t1 group by 1""",
-    "line_runs": f"""with {fx.TRACKS_SQL}, {_TRACK_EDGES_SQL}, win as (select -400e0 a, -70.05e0 b, 400e0 c, 40e0 e), {_CLIP_SQL},
-     k as (select fid, seq, t0<=0 w0, t1>=1 w1 from cl where ok and t0<=t1 and seq%7<>3),
+    "line_runs": f"""with {fx.TRACKS_SQL.replace("tracks as", "whole as")}, tracks as (select fid, seq, x, y*10-floor(y*10) y from whole),
+     {_TRACK_EDGES_SQL}, win as (select -400e0 a, -1e0 b, 400e0 c, 0.5e0 e), {_CLIP_SQL},
+     k as (select fid, seq, t0<=0 w0, t1>=1 w1 from cl where ok and t0<=t1),
      j as (select *, case when lag(seq) over w = seq-1 and lag(w1) over w and w0 then 0 else 1 end s from k window w as (partition by fid order by seq)),
      r as (select *, sum(s) over (partition by fid order by seq) run from j)
      select fid, cast(run as bigint) run, min(seq) first_seq, max(seq) last_seq from r group by 1,2""",

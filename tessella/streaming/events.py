@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import fixtures as fx
+from tessella.shared import shared_dir
 
 
 def chunks(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -41,7 +40,7 @@ def stream_binned_events(spark: SparkSession, d: str) -> DataFrame:
     schema = fx.table(spark, d, "events").schema
     name = f"binned_{os.urandom(6).hex()}"
     source = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
+    place = shared_dir(spark)
     q = binned(source).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "tx", "n", "value")
