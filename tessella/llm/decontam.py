@@ -10,8 +10,10 @@ automaton; a larger benchmark is split into blocks of that size, each scanned ov
 what the blocks find is united per row.
 
 Defined results: null or empty texts have no words and are clean; items without words never match; items that
-share a window all count; items without an id hit words like any other, but stand in no list of items and aren't counted there; repeated documents give repeated rows; with an empty benchmark nothing is hit; extra
-columns are ignored by :func:`scan` and kept by :func:`decontaminate`.
+share a window, or repeat each other, all count by their id; items without an id hit words like any other, but stand in no list of
+items and aren't counted there; texts of any length are scanned whole; repeated documents give repeated rows; with an empty
+benchmark nothing is hit, and an empty table of documents gives an empty result; extra columns are kept by :func:`scan`, but for
+those named like its own, which are replaced, and all columns by :func:`decontaminate`.
 """
 
 from __future__ import annotations
@@ -85,6 +87,11 @@ class Automaton:
                 merged.append([a, b])
         return len(words), [(a, b) for a, b in merged], {i for _, (_, _, own) in found for i in own}
 
+    def hits(self, text: str) -> bool:
+        """Whether any window occurs."""
+        words = [] if self.empty else words_of(text)
+        return bool(words) and next(self.machine.iter(f" {b' '.join(words).decode('latin-1')} "), None) is not None
+
 
 def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The characters of the original text, end exclusive, that ranges of words take."""
@@ -182,10 +189,24 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, columns as they were."""
-    found = scan(docs.select(F.struct(*docs.columns).alias("__row"), "text"), benchmark)
-    return found.where(F.size("ranges") == 0).select(*(F.col("__row")[c].alias(c) for c in docs.columns))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """The documents without any benchmark window, columns as they were; each block only sees what the blocks before it left."""
+    for k, block in enumerate(_blocks(benchmark, max_pattern_bytes)):
+        if k:
+            docs = materialise(docs, "decontam-block")
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), size), docs.schema)
+    return docs
+
+
+def _clean(shared: Broadcast, size: int):
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(key, shared, size)
+        for rb in pieces(batches, "text"):
+            yield rb.filter(pa.array([not machine.hits(t) for t in texts_of(rb, "text")], pa.bool_()))
+
+    return run
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

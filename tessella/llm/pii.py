@@ -1,9 +1,10 @@
 """Surrogates for personal data; DataFrame functions only.
 
-E-mail addresses, phone numbers, IP addresses, payment-card numbers and persons named after a title are found by patterns
-and replaced. A surrogate is a keyed digest of the entity's normal form spelled in the entity's own format: digits
+E-mail addresses, phone numbers, IP addresses (both versions), payment-card numbers, bank accounts (IBAN with right check digits)
+and persons named after a title are found by patterns and replaced. A surrogate is a keyed digest of the entity's normal form spelled in the entity's own format: digits
 become digits and letters letters of the same case and script, separators stay; octets of an address stay below 256, card
-numbers keep a valid check digit if they had one, and persons get a name of the gender that the title tells.
+numbers keep a valid check digit if they had one, accounts their country and valid check digits, and persons get a name of the
+gender that the title tells in the script of the name (Latin, Greek or Cyrillic; other scripts get Latin names).
 
 Phone numbers are found in these forms: ``+`` or ``00`` and a country code with groups of 2 to 4 digits, or one digit and four
 pairs; North American numbers of 3, 3 and 4 digits; French ones of five pairs; Spanish ones of nine digits in groups; German and
@@ -11,10 +12,15 @@ British ones with a leading 0, an area of 3 to 6 digits in all and a subscriber
 if they are French (ten digits from 0 on), and a number's national and international spelling count as two entities.
 
 The same entity gets the same surrogate everywhere (coreference); an attempt number, part of the digest, keeps different
-entities apart: all surrogates are compared, with each other and with the entities that occur, and those that collide, but for
-the smallest entity of each, try again. An entity that collides after ``RELAXED`` attempts may take a longer form.
+entities apart: all surrogates are compared, with each other and with the entities that occur. Of those that collide the smallest entity
+keeps its surrogate, unless it is an entity itself; the others, and only they, try again against all that is taken. An entity that
+collides after ``RELAXED`` attempts may take a longer form, and after ``COUNTED`` attempts its surrogate ends with a number that
+no other has, so that this ends however many entities there are.
 
-Defined results: null texts stay null and have no entities; overlapping entities: the one that begins first, then the one
+Patterns start at the first character of a run and never go back over repeated groups, so their cost is linear in a text of any
+length and shape.
+
+Defined results: null texts stay null and have no entities; empty tables give empty results; overlapping entities: the one that begins first, then the one
 of the kind listed first, is replaced; repeated rows give repeated results; extra columns are kept by :func:`pseudonymise`, but for those named
 like its counts, which are replaced.
 """
@@ -24,11 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .spans import places, replaced
+from .common import discard, materialise, table
+from .spans import let, places, replaced, scanned
 
-KINDS = ["email", "phone", "ip", "card", "man", "woman", "national"]
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+KINDS = ["email", "phone", "ip", "card", "man", "woman", "national", "ip6", "account"]
+# A run of signs before the address belongs to the match and is cut off afterwards.
+EMAIL = r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _SEP = r"[ .\u00A0\u202F/-]"
 PHONE = (
     r"(?<![0-9A-Za-z])\+(?:"
@@ -48,21 +55,33 @@ NATIONAL = (
 )
 IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?![0-9]|\.[0-9])"
 CARD = rf"(?<![0-9])(?!{_ABROAD})" + r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-MAN = r"(?<=\b(?:Mr|Herr|Monsieur|Señor|Sr)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
-WOMAN = r"(?<=\b(?:Mrs|Ms|Miss|Frau|Madame|Señora|Sra)\.? )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
-GATE = r"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[^0-9A-Za-z]{0,4}[0-9]){7}|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora?|Sra?)\.? \p{Lu}"
+IP6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])"
+ACCOUNT = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+_MR, _MRS = "Mr|Herrn?|Monsieur|Señor|Sr|господин|г-н|κύριος|κ", "Mrs|Ms|Miss|Frau|Madame|Señora|Sra|госпожа|г-жа|κυρία|κα"
+_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+MAN = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?:{_MR})\.? ){_NAME}(?: {_NAME})?"
+WOMAN = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?:{_MRS})\.? ){_NAME}(?: {_NAME})?"
+GATE = (
+    rf"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[^0-9A-Za-z]{{0,4}}[0-9]){{7}}|(?<![\p{{L}}\p{{N}}_])(?:{_MR}|{_MRS})\.? \p{{Lu}}"
+    r"|:[0-9A-Fa-f]{0,4}:|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
+)
+# Names by script: men, women, families of men, families of women.
 _MEN = ["James", "Robert", "Lukas", "Felix", "Pierre", "Julien", "Diego", "Carlos", "Oscar", "Victor", "Hugo", "Martin", "Simon", "Leon", "Pablo", "Adam"]
 _WOMEN = ["Mary", "Anna", "Julia", "Clara", "Marie", "Camille", "Lucia", "Elena", "Sofia", "Laura", "Alice", "Emma", "Nora", "Ines", "Paula", "Eva"]
 _FAMILY = ["Archer", "Baker", "Castro", "Dubois", "Ebert", "Fischer", "Garnier", "Hansen", "Ibarra", "Jensen", "Keller", "Lambert", "Moreno", "Navarro", "Olsen", "Perrin"]
+_CYRILLIC = (
+    ["Алексей", "Борис", "Виктор", "Григорий", "Дмитрий", "Иван", "Максим", "Олег"], ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга"],
+    ["Орлов", "Соколов", "Лебедев", "Морозов", "Волков", "Зайцев", "Павлов", "Титов"], ["Орлова", "Соколова", "Лебедева", "Морозова", "Волкова", "Зайцева", "Павлова", "Титова"],
+)
+_GREEK = (
+    ["Αλέξανδρος", "Γιώργος", "Δημήτρης", "Κώστας", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος"], ["Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ειρήνη", "Κατερίνα", "Μαρία", "Σοφία"],
+    ["Γεωργίου", "Δημητρίου", "Ιωάννου", "Κωνσταντίνου", "Νικολάου", "Παναγιώτου", "Χρήστου", "Αθανασίου"], ["Γεωργίου", "Δημητρίου", "Ιωάννου", "Κωνσταντίνου", "Νικολάου", "Παναγιώτου", "Χρήστου", "Αθανασίου"],
+)
 # Alphabets by script; a letter becomes a letter of the alphabet that holds it, any other letter stays a letter of its case.
 _SCRIPTS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
 RELAXED = 4
-MAX_ATTEMPTS = 64
-
-
-def _let(x: Column, f) -> Column:
-    """``f(x)`` with ``x`` evaluated once a row, however often ``f`` uses it."""
-    return F.element_at(F.transform(F.array(x), f), 1)
+COUNTED = 12
+_HEX = "0123456789abcdef"
 
 
 def _digits(x: Column) -> Column:
@@ -71,7 +90,10 @@ def _digits(x: Column) -> Column:
 
 def normal(kind: Column, raw: Column) -> Column:
     """What two mentions of one entity have in common."""
-    return F.when(kind == 0, F.lower(raw)).when((kind == 1) | (kind == 3) | (kind == 6), _digits(raw)).otherwise(raw)
+    return (
+        F.when((kind == 0) | (kind == 7), F.lower(raw)).when((kind == 1) | (kind == 3) | (kind == 6), _digits(raw))
+        .when(kind == 8, F.replace(raw, F.lit(" "), F.lit(""))).otherwise(raw)
+    )
 
 
 def _digest(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -96,7 +118,7 @@ def _spelled(raw: Column, hexes: Column, skip: Column | None = None) -> Column:
         return out.otherwise(c)
 
     def one(c: Column, i: Column) -> Column:
-        out = _let(_nth(hexes, i), lambda n: drawn(c, n))
+        out = let(_nth(hexes, i), lambda n: drawn(c, n))
         return out if skip is None else F.when(i < skip, c).otherwise(out)
 
     return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), one), "")
@@ -109,7 +131,7 @@ def _octets(raw: Column, hexes: Column, attempt: Column) -> Column:
         own = F.when(F.length(o) == 1, x % 10).when(F.length(o) == 2, x % 90 + 10).otherwise(x % 156 + 100)
         return F.when(attempt >= RELAXED, x % 256).otherwise(own).cast("string")
 
-    return F.array_join(F.transform(F.split(raw, r"\."), lambda o, i: _let(_nth(hexes, i), lambda x: drawn(o, x))), ".")
+    return F.array_join(F.transform(F.split(raw, r"\."), lambda o, i: let(_nth(hexes, i), lambda x: drawn(o, x))), ".")
 
 
 def _luhn(digits: Column) -> Column:
@@ -128,37 +150,68 @@ def _card(norm: Column, hexes: Column) -> Column:
 
     def checked(drawn: Column) -> Column:
         body = F.substring(drawn, F.lit(1), F.length(norm) - 1)
-        fixed = _let(body, lambda b: F.concat(b, ((F.lit(10) - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
+        fixed = let(body, lambda b: F.concat(b, ((F.lit(10) - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
         return F.when(_luhn(norm) == 0, fixed).otherwise(drawn)
 
-    return _let(_spelled(norm, hexes, F.lit(1)), checked)
+    return let(_spelled(norm, hexes, F.lit(1)), checked)
 
 
-def _in_format(raw: Column, digits: Column) -> Column:
-    """``digits`` put in place of the digits of ``raw``."""
+def _in_format(raw: Column, drawn: Column, kept: str = "[0-9]") -> Column:
+    """The characters of ``drawn`` in place of those of ``raw`` that ``kept`` matches; what is left of it follows."""
     chars = F.filter(F.split(raw, ""), lambda c: c != "")
 
-    def put(digits: Column) -> Column:
+    def put(drawn: Column) -> Column:
         def step(acc: Column, c: Column) -> Column:
-            is_digit = c.between("0", "9")
-            return F.struct((acc["n"] + is_digit.cast("int")).alias("n"), F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
+            own = c.rlike(kept)
+            return F.struct((acc["n"] + own.cast("int")).alias("n"), F.concat(acc["out"], F.when(own, F.substring(drawn, acc["n"] + 1, F.lit(1))).otherwise(c)).alias("out"))
 
         return F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    return _let(digits, put)
+    return let(drawn, put)
 
 
-def _person(raw: Column, hexes: Column, attempt: Column, given: list[str]) -> Column:
+def _person(raw: Column, hexes: Column, attempt: Column, woman: bool) -> Column:
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), _nth(hexes, F.lit(i)) % len(names) + 1)
-    first, family = pick(given, 0), pick(_FAMILY, 1)
-    more = F.concat(family, F.lit("-"), pick(_FAMILY, 2), F.lit("-"), _spelled(F.lit("Aaaaaa"), hexes))
-    long = F.when(attempt >= RELAXED, more).otherwise(family)
-    return F.when(raw.contains(" "), F.concat_ws(" ", first, long)).otherwise(F.when(attempt >= RELAXED, F.concat_ws("-", first, long)).otherwise(first))
+
+    def of(men: list[str], women: list[str], families: list[str], hers: list[str], drawn: str) -> Column:
+        given, family = (women, hers) if woman else (men, families)
+        first = pick(given, 0)
+        more = F.concat(pick(family, 1), F.lit("-"), pick(family, 2), F.lit("-"), _spelled(F.lit(drawn), hexes))
+        long = F.when(attempt >= RELAXED, more).otherwise(pick(family, 1))
+        return F.when(raw.contains(" "), F.concat_ws(" ", first, long)).otherwise(F.when(attempt >= RELAXED, F.concat_ws("-", first, long)).otherwise(first))
+
+    return F.when(raw.rlike(r"^\p{IsCyrillic}"), of(*_CYRILLIC, "Аааааа")).when(raw.rlike(r"^\p{IsGreek}"), of(*_GREEK, "Αααααα")).otherwise(of(_MEN, _WOMEN, _FAMILY, _FAMILY, "Aaaaaa"))
+
+
+def _groups(raw: Column, hexes: Column, attempt: Column) -> Column:
+    """An address of version 6 with its digits drawn anew, in eight full groups from the relaxed attempts on."""
+
+    def one(c: Column, i: Column) -> Column:
+        digit = let(_nth(hexes, i), lambda n: F.substring(F.lit(_HEX), n % 16 + 1, F.lit(1)))
+        return F.when(c == ":", c).when(c.between("A", "F"), F.upper(digit)).otherwise(digit)
+
+    full = F.concat_ws(":", *(F.substring(hexes, F.lit(4 * k + 1), F.lit(4)) for k in range(8)))
+    return F.when(attempt >= RELAXED, full).otherwise(F.array_join(F.transform(F.filter(F.split(raw, ""), lambda c: c != ""), one), ""))
+
+
+def _remainder(account: Column) -> Column:
+    """Of an account number, read as its check sum reads it, by 97."""
+    chars = F.filter(F.split(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, F.lit(1), F.lit(4))), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda r, c: F.when(c.between("0", "9"), r * 10 + c.cast("int")).otherwise(r * 100 + F.ascii(c) - 55) % 97)
+
+
+def _iban(norm: Column, hexes: Column) -> Column:
+    """An account of the same country and format with the right check digits."""
+    body = F.substring(_spelled(norm, hexes, F.lit(4)), F.lit(5), F.length(norm))
+    country = F.substring(norm, F.lit(1), F.lit(2))
+    return let(body, lambda b: F.concat(country, F.lpad((F.lit(98) - _remainder(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0"), b))
 
 
 def surrogate(key: str, kind: Column, raw: Column, norm: Column, attempt: Column) -> Column:
     """The replacement of one mention."""
-    return _let(_digest(key, kind, norm, attempt), lambda h: _from_digest(h, kind, raw, norm, attempt))
+    new = let(_digest(key, kind, norm, attempt), lambda h: _from_digest(h, kind, raw, norm, attempt))
+    numbered = F.when(kind == 0, F.concat(attempt.cast("string"), F.lit("-"), new)).otherwise(F.concat(new, F.lit("-"), attempt.cast("string")))
+    return F.when(attempt >= COUNTED, numbered).otherwise(new)
 
 
 def _from_digest(h: Column, kind: Column, raw: Column, norm: Column, attempt: Column) -> Column:
@@ -170,47 +223,65 @@ def _from_digest(h: Column, kind: Column, raw: Column, norm: Column, attempt: Co
     return (
         F.when(kind == 0, email).when(kind == 1, _in_format(raw, _spelled(norm, h, country))).when(kind == 2, _octets(raw, h, attempt))
         .when(kind == 6, _in_format(raw, _spelled(norm, h, F.length(F.regexp_extract(norm, "^(0*)", 1)))))
-        .when(kind == 3, _in_format(raw, _card(norm, h))).when(kind == 4, _person(raw, h, attempt, _MEN)).otherwise(_person(raw, h, attempt, _WOMEN))
+        .when(kind == 3, _in_format(raw, _card(norm, h))).when(kind == 7, _groups(raw, h, attempt)).when(kind == 8, _in_format(raw, _iban(norm, h), "[^ ]"))
+        .when(kind == 4, _person(raw, h, attempt, False)).otherwise(_person(raw, h, attempt, True))
     )
 
 
 def attempts(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm and the attempt whose surrogate is like no other's and like no entity; ``entities`` has kind and norm."""
-    known = materialise(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)), "pii-entities")
-    for _ in range(MAX_ATTEMPTS):
-        made = materialise(known.withColumn("made", normal(F.col("kind"), surrogate(key, F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt")))), "pii-made")
-        # the smallest entity keeps a surrogate that several have, unless it is an entity itself
-        owners = made.select("kind", "made", "norm").union(known.select("kind", F.col("norm").alias("made"), F.lit("").alias("norm"))).groupBy("kind", "made").agg(F.min("norm").alias("owner"), F.count("*").alias("n"))
-        lost = materialise(made.join(owners.where("n > 1"), ["kind", "made"]).where("norm <> owner").select("kind", "norm", F.lit(1).alias("more")), "pii-lost")
-        if not lost.limit(1).count():
-            return known
-        known = materialise(known.join(lost, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "pii-entities")
-    raise ValueError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
+    known = materialise(entities.select("kind", "norm").distinct(), "pii-entities")
+    open_, settled, taken, attempt = known, [], [known.select("kind", F.col("norm").alias("made"))], 0
+    while True:
+        number = F.lit(attempt).cast("long") if attempt < COUNTED else F.monotonically_increasing_id() * 64 + attempt
+        made = open_.select("kind", "norm", number.alias("attempt"))
+        made = materialise(made.withColumn("made", normal(F.col("kind"), surrogate(key, F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt")))), "pii-made")
+        used = taken[0]
+        for more in taken[1:]:
+            used = used.union(more)
+        owners = made.groupBy("kind", "made").agg(F.min("norm").alias("norm")).join(used, ["kind", "made"], "left_anti")
+        won = materialise(made.join(owners, ["kind", "made", "norm"]).select("kind", "norm", "attempt", "made"), "pii-won")
+        settled.append(won.select("kind", "norm", "attempt"))
+        taken.append(won.select("kind", "made"))
+        open_ = materialise(made.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm"), "pii-lost")
+        discard(made)
+        attempt += 1
+        if not open_.limit(1).count():
+            break
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.union(more)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """All documents with surrogates in their texts and n_email, n_phone, n_ip, n_card, n_person; n_chars is counted anew."""
-    counts = ["n_email", "n_phone", "n_ip", "n_card", "n_person"]
+    """All documents with surrogates in their texts and n_email, n_phone, n_ip, n_card, n_person, n_account; n_chars is counted anew."""
+    counts = ["n_email", "n_phone", "n_ip", "n_card", "n_person", "n_account"]
     names = [c for c in docs.columns if c not in counts]
     docs = docs.select(*names)
     text = F.coalesce(F.col("text"), F.lit(""))
     gated = materialise(docs.where(text.rlike(GATE)).withColumn("__row", F.monotonically_increasing_id()), "pii-gated")
-    patterns = [EMAIL, PHONE, IP, CARD, MAN, WOMAN, NATIONAL]
-    found = F.array_sort(F.concat(*(places(F.col("text"), p, k) for k, p in enumerate(patterns))))
-    spans = gated.select(F.col("__row").alias("row"), "text", F.explode(found).alias("s"))
-    raw = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    spans = materialise(spans.select("row", "s", F.col("s.kind").alias("kind"), raw.alias("raw")), "pii-spans")
+    patterns = [EMAIL, PHONE, IP, CARD, MAN, WOMAN, NATIONAL, IP6, ACCOUNT]
+    found = F.concat(*(places(F.col("text"), p, k, raw=True) for k, p in enumerate(patterns)))
+    spans = gated.select(F.col("__row").alias("row"), F.explode(found).alias("s"))
+    lead = F.when(F.col("s.kind") == 0, F.length(F.regexp_extract("s.raw", "^[._%+-]+", 0))).otherwise(0)
+    own = F.struct((F.col("s.start") + lead).alias("start"), "s.kind", "s.end")
+    spans = spans.select("row", own.alias("s"), F.col("s.kind").alias("kind"), F.substring("s.raw", lead + 1, F.length("s.raw")).alias("raw"))
+    right = _remainder(normal(F.col("kind"), F.col("raw"))) == 1
+    spans = materialise(spans.where(F.when(F.col("kind") == 8, right).otherwise(True)), "pii-spans")
     ents = spans.withColumn("norm", normal(F.col("kind"), F.col("raw")))
     tries = attempts(ents, key)
     new = ents.join(tries, ["kind", "norm"]).select("row", F.struct("s.start", "s.kind", "s.end", surrogate(key, F.col("kind"), F.col("raw"), F.col("norm"), F.col("attempt")).alias("new")).alias("s"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,new:string>>")
+    found = "array<struct<start:int,kind:int,end:int,new:string>>"
+    none = F.array().cast(found)
     # of overlapping spans only the first is replaced, and only it counts
-    own = F.aggregate("s", F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a), lambda a: a["out"])
+    first = lambda at, s: (F.when(s["start"] >= at, s["end"]).otherwise(at), F.when(s["start"] >= at, F.array(s)).otherwise(none))
+    own = scanned(F.col("s"), none, first)
     by_row = materialise(new.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list("s")).alias("s")).select("__row", own.alias("__found")), "pii-by-row")
     some = gated.join(by_row, "__row", "left").withColumn("__found", F.coalesce("__found", none))
     count = lambda *k: F.size(F.filter("__found", lambda s: s["kind"].isin(*k))).cast("long")
-    tail = [count(*k).alias(c) for c, k in zip(counts, [(0,), (1, 6), (2,), (3,), (4, 5)], strict=True)]
-    some = some.select(*names, "__found", *tail).withColumn("text", replaced(F.col("text"), F.col("__found"), lambda s: s["new"]))
+    tail = [count(*k).alias(c) for c, k in zip(counts, [(0,), (1, 6), (2, 7), (3,), (4, 5), (8,)], strict=True)]
+    some = some.select(*names, "__found", *tail).withColumn("text", replaced(F.col("text"), F.col("__found"), lambda s: s["new"], found))
     if "n_chars" in names:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     rest = docs.where(~text.rlike(GATE)).select(*names, *(F.lit(0).cast("long").alias(c) for c in counts))

@@ -2,22 +2,27 @@
 
 Three kinds of span are always reported: assignments of a secret (``assign``), access identifiers (``access``) and long
 hexadecimal runs (``hex``). Three kinds are weak: account names (``account``), mixed tokens (``mixed``) and endpoints
-(``endpoint``). A weak span is reported only if a complementary part begins within ``reach`` code points of it: a
-secret (assign, hex, mixed) for an account or an endpoint, an identifier or endpoint (access, account, endpoint) for a token.
-What two weak spans report of each other is mutual, so neither needs a strong one.
-
-Parts are joined as intervals: each lies in a block of ``reach`` code points of its text, blocks hold the first and last
-start of each role, and a weak part meets its own block and both neighbours by an equi-join. So the join has three rows a
-part at most, however many parts a block has. A gate pattern keeps texts without any part out of all of this.
-
-Defined results: null counts as empty; empty texts have no spans; overlapping spans of different kinds are all reported;
-repeated rows give repeated results, since rows are told apart by a number of their own; extra columns are kept by
-:func:`redact` and ignored by :func:`report`.
+(``endpoint``). A weak span is reported only if a complementary part, which doesn't overlap it, begins within ``reach`` code
+points of it: a secret (assign, hex, mixed) for an account or an endpoint, an identifier or endpoint (access, account, endpoint)
+for a token. What two weak spans report of each other is mutual, so neither needs a strong one.
+
+One string is one part: a mixed token that overlaps another part is none. Nor is a token of low disorder: it needs ``MIXES``
+places where letters and digits, or small and then two capital letters, meet. Words, user names, paths and titles in links
+have few of them, drawn tokens many.
+
+Parts are joined as intervals, row by row: of the complementary parts that end before a weak one the one of the latest start is
+the nearest, and of those that begin after it the one of the earliest; both are running extremes over the row's parts in their
+order, so cost follows the parts of a text and never its pairs. A gate pattern keeps texts without any part out of all of this.
+
+Defined results: null counts as empty; empty texts have no spans; texts of any length are searched whole, by patterns whose
+cost is linear in it; overlapping spans of different kinds are all reported, but for mixed tokens; equal distances both count;
+repeated rows give repeated results, since rows are told apart by a number of their own; an empty table gives an empty
+result; extra columns are kept by :func:`redact` and ignored by :func:`report`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -39,17 +44,37 @@ GATE = rf"(?i:{_SECRET_NAMES}|{_ACCOUNT_NAMES}){_IS}|AKIA|(?<![0-9a-f])[0-9a-f]{
 KINDS = ["assign", "access", "hex", "account", "mixed", "endpoint"]
 SECRETS, IDENTIFIERS = [0, 2, 4], [1, 3, 5]
 REACH = 240
+MIXES = 4
+_MIX = r"[a-z](?=[A-Z](?![a-z]))|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"
 MARK = "[SECRET]"
 
 
+def _tokens(text: Column) -> Column:
+    """Mixed tokens of some disorder."""
+
+    mixed = F.filter(places(text, MIXED, 4, raw=True), lambda s: F.size(F.regexp_extract_all(s["raw"], F.lit(_MIX), F.lit(0))) >= MIXES)
+    return F.transform(mixed, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
 def _linked(hit: DataFrame, reach: int) -> DataFrame:
     """row and the weak spans to report, for rows with base and weak spans."""
-    parts = hit.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s", F.floor(F.col("s.start") / reach).alias("block"), F.col("s.kind").isin(SECRETS).alias("secret"))
-    blocks = parts.groupBy("row", "block", "secret").agg(F.min("s.start").alias("first"), F.max("s.start").alias("last"))
-    asks = parts.where(F.col("s.kind") >= 3).select("row", "s", (~F.col("secret")).alias("secret"), F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block"))
-    # A neighbouring block's nearest start is its last or its first; a start within the own block is always in reach.
-    near = (F.abs(F.col("first") - F.col("s.start")) <= reach) | (F.abs(F.col("last") - F.col("s.start")) <= reach)
-    return asks.join(blocks, ["row", "block", "secret"]).where(near).groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("linked"))
+    parts = hit.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("s"))
+    # A token that overlaps an earlier part, or one that begins inside it, is no part: the latest end before and the next start tell.
+    order = Window.partitionBy("row").orderBy("s.start", F.col("s.kind") == 4, "s.end")
+    ends = F.max(F.when(F.col("s.kind") != 4, F.col("s.end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("row").orderBy(F.desc("s.start"), F.desc(F.col("s.kind") == 4), F.desc("s.end"))
+    starts = F.min(F.when(F.col("s.kind") != 4, F.col("s.start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    alone = (F.coalesce(ends, F.lit(0)) <= F.col("s.start")) & (F.coalesce(starts, F.col("s.end")) >= F.col("s.end"))
+    parts = parts.select("row", "s", alone.alias("alone")).where((F.col("s.kind") != 4) | F.col("alone")).select("row", "s", F.col("s.kind").isin(SECRETS).alias("secret"))
+    asks = parts.where(F.col("s.kind") >= 3).select("row", (~F.col("secret")).alias("secret"), "s", F.lit(1).alias("asks"))
+    events = parts.select("row", "secret", "s", F.lit(0).alias("asks")).union(asks)
+    own = F.when(F.col("asks") == 0, F.col("s.start"))
+    # Parts that end where the weak one begins, or before; those that begin where it ends, or after.
+    before = Window.partitionBy("row", "secret").orderBy(F.when(F.col("asks") == 0, F.col("s.end")).otherwise(F.col("s.start")), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row", "secret").orderBy(F.desc(F.when(F.col("asks") == 0, F.col("s.start")).otherwise(F.col("s.end"))), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    near = events.select("row", "s", "asks", F.max(own).over(before).alias("last"), F.min(own).over(after).alias("next")).where("asks = 1")
+    near = near.where((F.col("s.start") - F.col("last") <= reach) | (F.col("next") - F.col("s.start") <= reach))
+    return near.groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("linked"))
 
 
 def find(docs: DataFrame, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +84,7 @@ def find(docs: DataFrame, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
     gated = materialise(docs.where(text.rlike(GATE)).withColumn("__row", F.monotonically_increasing_id()), "secrets-gated")
     # An assignment's keyword is group 1 and its value group 2.
     base = F.array_sort(F.concat(places(F.col("text"), ASSIGN, 0, 2, 8), places(F.col("text"), ACCESS, 1, 0, 16), places(F.col("text"), HEX, 2)))
-    weak = F.array_sort(F.concat(places(F.col("text"), ACCOUNT, 3), places(F.col("text"), MIXED, 4), places(F.col("text"), ENDPOINT, 5)))
+    weak = F.array_sort(F.concat(places(F.col("text"), ACCOUNT, 3), _tokens(F.col("text")), places(F.col("text"), ENDPOINT, 5)))
     hit = materialise(gated.select(F.col("__row").alias("row"), base.alias("base"), weak.alias("weak")), "secrets-spans")
     linked = materialise(_linked(hit, reach), "secrets-linked")
     spans = F.array_sort(F.array_union("base", F.coalesce("linked", F.array().cast(NO_SPANS))))

@@ -1,7 +1,8 @@
 """URL filter by hashed host-suffix and path-prefix expressions; DataFrame functions only.
 
-Every URL is expanded into expressions: each suffix of its host that begins at a label, with each prefix of its path that
-is as long as some rule's path (so any rule path is matched, not only those that end at a slash). Expressions and rules
+Every URL is expanded into expressions: each suffix of its host that begins at a label and has as many labels as some rule's
+host, with each prefix of its path that is as long as some rule's path (so any rule path is matched, not only those that end at
+a slash). So the expressions of a URL follow the rules' label counts and lengths, however long its host and path are. Expressions and rules
 meet by an equi-join on the first four bytes of their SHA-256 digests; the full digests then confirm. Of the confirmed
 rules the longest (host and path together, then the longer host, then block before allow) decides.
 
@@ -10,7 +11,8 @@ are hashed once; the engine broadcasts them while they are below its own thresho
 
 Defined results: a null url, or one without ``://``, has an empty host and path, and so no rule; URLs without a rule
 get ``default``; repeated pages give repeated rows; of rules for one expression block wins; rules with a null host,
-path or verdict don't count; with no rules every URL gets ``default``; extra columns are kept by :func:`judge`.
+path or verdict don't count; with no rules every URL gets ``default``; an empty table of pages gives an empty result; extra columns are kept by
+:func:`judge`, but for those named host, path, rule or verdict, which its own replace.
 """
 
 from __future__ import annotations
@@ -47,10 +49,10 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, path).cast("binary"), 256)
 
 
-def _expressions(places: DataFrame, lengths: list[int]) -> DataFrame:
+def _expressions(places: DataFrame, counts: list[int], lengths: list[int]) -> DataFrame:
     """places (host, start) with one row per expression: suffix, prefix."""
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*(F.when(labels >= k, F.substring_index("host", ".", -k)) for k in counts)))
     prefixes = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("start")), lambda n: F.substring("start", F.lit(1), n)))
     return places.select("host", "start", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "start", "suffix", F.explode("prefixes").alias("prefix"))
 
@@ -58,26 +60,27 @@ def _expressions(places: DataFrame, lengths: list[int]) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW) -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
     valid = rules.where("host is not null and path is not null and verdict is not null")
-    # Few different lengths exist, however many rules there are.
+    # Few different lengths and label counts exist, however many rules there are.
     lengths = sorted(r.n for r in valid.select(F.length("path").alias("n")).distinct().collect())
+    counts = sorted(r.n for r in valid.select(F.size(F.split("host", r"\.", -1)).alias("n")).distinct().collect())
     hashed = (
         valid.groupBy(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("rule_verdict"))
         .withColumn("full", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", F.substring("full", 1, 8))
     )
-    clash = [c for c in ("host", "path", "rule", "verdict", "start") if c in pages.columns]
+    clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
     seen = pages.drop(*clash).withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    seen = seen.withColumn("start", F.substring("path", 1, lengths[-1] if lengths else 0))
+    seen = seen.withColumn("__start", F.substring("path", 1, lengths[-1] if lengths else 0))
     if not lengths:
-        return seen.drop("start").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    places = seen.select("host", "start").distinct()
-    asked = _expressions(places, lengths).withColumn("full_asked", _digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("full_asked", 1, 8))
+        return seen.drop("__start").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    places = seen.select("host", F.col("__start").alias("start")).distinct()
+    asked = _expressions(places, counts, lengths).withColumn("full_asked", _digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("full_asked", 1, 8))
     # A digest is of host and path run together, so the confirmed pair is compared too.
     met = asked.join(hashed, "short").where("full = full_asked and suffix = rule_host and prefix = rule_path")
     rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), "rule_verdict")
     best = met.groupBy("host", "start").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"), rank).alias("best"))
     # Written, so that both sides of the join are plain exchanges and a hot host can be split.
-    best = materialise(best.select("host", "start", "best.rule", F.col("best.rule_verdict").alias("verdict")), "url-verdicts")
-    return seen.join(best, ["host", "start"], "left").select(*(c for c in seen.columns if c != "start"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = materialise(best.select("host", F.col("start").alias("__start"), "best.rule", F.col("best.rule_verdict").alias("verdict")), "url-verdicts")
+    return seen.join(best, ["host", "__start"], "left").select(*(c for c in seen.columns if c != "__start"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
