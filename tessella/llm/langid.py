@@ -134,12 +134,13 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([v.astype(np.int64)], pa.list_(pa.int64()))], ["lang", "v"])
 
-    parts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, v array<long>")
+    known = docs.where("lang is not null and text is not null").select("lang", "text")
+    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: prototypes would outgrow the workers")
+    parts = known.mapInArrow(run, "lang string, v array<long>")
     summed = parts.select("lang", F.posexplode("v").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
     out: dict[str, np.ndarray] = {}
     for row in summed.collect():  # languages x dimensions
-        if row.lang not in out and len(out) >= MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages: prototypes would outgrow the workers")
         out.setdefault(row.lang, np.zeros(dim))[row.at] = row.v
     return {k: v / norm for k, v in sorted(out.items()) if (norm := np.linalg.norm(v))}
 

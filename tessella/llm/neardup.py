@@ -187,15 +187,16 @@ def _settled(rows: pa.Table) -> pa.Table:
 def _between(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, hub) links between components inside ``groups`` (group, node), block by block; the tasks' links span what they join."""
     held = materialise(groups.join(labels, "node"), "neardup-held")
-    parts = held.groupBy("group", "label").agg(F.count("*").alias("k"))
+    parts = materialise(held.groupBy("group", "label").agg(F.count("*").alias("k")), "neardup-parts")
     open_ = parts.groupBy("group").agg(F.count("*").alias("parts")).where("parts > 1").select("group")
-    parts = parts.join(open_, "group").select("group", "label", F.when(F.col("k") >= BLOCK, F.col("label")).alias("own"), "k")
     # A component of at least a block has blocks of its own; the others share blocks.
-    pools = parts.groupBy("group", "own").agg(F.ceil(F.sum("k") / BLOCK).alias("blocks"))
-    pools = materialise(pools.withColumn("own", F.coalesce("own", F.lit(b""))), "neardup-pools")
-    own = parts.select("group", "label", F.coalesce("own", F.lit(b"")).alias("own"))
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
-    placed = materialise(held.join(own, ["group", "label"]).join(pools, ["group", "own"]).select("group", "node", "label", F.struct("own", block.alias("i")).alias("block")), "neardup-placed")
+    own = F.when(F.col("k") >= BLOCK, F.col("label")).otherwise(F.lit(b""))
+    parts = materialise(parts.join(open_, "group").select("group", "label", own.alias("own"), "k"), "neardup-open")
+    pools = materialise(parts.groupBy("group", "own").agg(F.ceil(F.sum("k") / BLOCK).alias("blocks")), "neardup-pools")
+    # Written, so that both sides of the join are plain exchanges and a hot component can be split.
+    place = materialise(parts.join(pools, ["group", "own"]).select("group", "label", "own", "blocks"), "neardup-places")
+    block = F.struct("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("i"))
+    placed = materialise(held.join(place, ["group", "label"]).select("group", "node", "label", block.alias("block")), "neardup-placed")
     blocks = pools.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "own").select("group", F.struct("own", "i").alias("block"))
     a, b = blocks.withColumnRenamed("block", "p"), blocks.withColumnRenamed("block", "q")
     mixed = (F.col("p.own") != F.col("q.own")) | (F.col("p.own") == F.lit(b""))

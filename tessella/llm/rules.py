@@ -1,14 +1,16 @@
 """Line-first quality rules.
 
-Each line of a text is judged alone: it fails as a copy of an earlier line (long ones only), as navigation, as
-boilerplate, as shouting, or for its punctuation and symbols. Failing lines are removed. A document is rejected if it
+Each line of a text is judged alone: it fails as a copy of an earlier line (long ones only), as navigation (by its words, or
+by separators between short entries without a sentence's end, in any language), as boilerplate, as shouting, or for its
+punctuation and symbols. Words and phrases are those of English, German, French and Spanish pages; others can be given. Failing lines are removed. A document is rejected if it
 fails the base rule over its whole text (too few words, or too many words in repeated three-word windows), or if it
 loses too large a share of its words with the removed lines.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``; lines end at ``\\n`` only.
 
 Defined results: null counts as empty; a text without words fails the base rule; lines without words are neither
-counted nor judged and stay; repeated rows give repeated results; extra columns are kept by :func:`clean`.
+counted nor judged and stay; texts and lines of any length are judged whole; repeated rows give repeated results; an empty table
+gives an empty result; extra columns are kept by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -27,13 +29,22 @@ from .common import pieces, table, texts_of
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\v\f\r"
 _NAVIGATION = frozenset(
-    b"home menu login sign in up log out next previous prev back top search share tweet print subscribe contact about "
-    b"privacy terms sitemap help cookies read more skip to content".split()
+    "home menu login sign in up log out next previous prev back top search share tweet print subscribe contact about privacy terms sitemap help cookies read more skip to content "
+    "startseite menü anmelden registrieren weiter zurück suche teilen drucken kontakt über uns impressum datenschutz hilfe mehr lesen "
+    "accueil connexion suivant précédent retour recherche partager imprimer contactez nous propos confidentialité aide lire suite "
+    "inicio menú entrar registrarse siguiente anterior volver buscar compartir imprimir contacto nosotros privacidad ayuda leer más".encode().split()
 )
-_BOILERPLATE = (
-    b"all rights reserved", b"lorem ipsum", b"javascript", b"cookie policy", b"terms of use", b"privacy policy",
-    b"click here", b"subscribe to our newsletter", b"page not found", b"copyright (c)", "©".encode(),
+_BOILERPLATE = tuple(
+    x.encode()
+    for x in (
+        "all rights reserved", "lorem ipsum", "javascript", "cookie policy", "terms of use", "privacy policy", "click here", "subscribe to our newsletter", "page not found", "copyright (c)", "©",
+        "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "hier klicken", "seite nicht gefunden", "newsletter abonnieren",
+        "tous droits réservés", "politique de confidentialité", "politique de cookies", "cliquez ici", "page introuvable", "abonnez-vous",
+        "todos los derechos reservados", "política de privacidad", "política de cookies", "haga clic aquí", "página no encontrada", "suscríbase",
+    )
 )
+_SEPARATORS = frozenset(x.encode() for x in ("|", "||", ">", ">>", "»", "›", "·", "•", "::", "/"))
+_CLOSING = tuple(x.encode() for x in (".", "!", "?", "…", ":", ";", "\"", "”", "»", ")"))
 
 
 @dataclass(frozen=True)
@@ -49,6 +60,10 @@ class LineRules:
     max_upper_share: float = 0.80  # of ASCII letters
     copy_min_words: int = 5
     max_lost_share: float = 0.50  # of a document's words, in removed lines
+    min_separators: int = 2  # words that only separate, in a line of navigation
+    max_entry_words: float = 3.0  # words between them, on average
+    navigation: frozenset[bytes] = _NAVIGATION
+    boilerplate: tuple[bytes, ...] = _BOILERPLATE
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -88,9 +103,12 @@ def _left(line: bytes, drop: bytes) -> int:
 def line_fault(line: bytes, words: list[bytes], rules: LineRules) -> str | None:
     """Why a line with words goes, or None."""
     low = line.lower()
-    if len(words) <= 12 and all(w.strip(b"|>-/.,:;") in _NAVIGATION or not w.strip(b"|>-/.,:;") for w in low.split()):
+    between = sum(w in _SEPARATORS for w in words)
+    if between >= rules.min_separators and len(words) - between <= rules.max_entry_words * (between + 1) and not words[-1].endswith(_CLOSING):
         return "navigation"
-    if len(words) <= 30 and any(x in low for x in _BOILERPLATE):
+    if len(words) <= 12 and all(w.strip(b"|>-/.,:;") in rules.navigation or not w.strip(b"|>-/.,:;") for w in low.split()):
+        return "navigation"
+    if len(words) <= 30 and any(x in low for x in rules.boilerplate):
         return "boilerplate"
     if len(words) < rules.line_min_words:
         return None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,45 @@ def test_rules_odd_rows(spark):
     assert row.text == body and row.n_chars == len(body)
 
 
+def plain_kept(t):
+    """The verdict, line by line, on decoded text."""
+    t, r = t or "", rules.LineRules()
+    split = lambda x: re.findall(r"[^ \t-\r]+", x)
+    lower = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    ascii_marks = [c for c in map(chr, range(33, 127)) if not c.isalnum()]
+    navigation, boilerplate = {x.decode() for x in r.navigation}, [x.decode() for x in r.boilerplate]
+    seen, lost = set(), 0
+    for line in t.split("\n"):
+        words, low = split(line), lower(line)
+        n = len(words)
+        if not n:
+            continue
+        bad = line in seen and n >= 5
+        seen.add(line)
+        cuts = sum(w in ("|", "||", ">", ">>", "»", "›", "·", "•", "::", "/") for w in words)
+        bad |= cuts >= 2 and n - cuts <= 3 * (cuts + 1) and words[-1][-1] not in ".!?…:;\"”»)"
+        bad |= n <= 12 and all(w.strip("|>-/.,:;") in {*navigation, ""} for w in split(low))
+        bad |= n <= 30 and any(x in low for x in boilerplate)
+        if n >= 5:
+            size = sum(len(w.encode()) for w in words)
+            bad |= sum(c in "#*$%&|<>" for c in line) > 0.08 * size or sum(c in ascii_marks for c in line) > 0.3 * size
+            upper, small = len(re.findall("[A-Z]", line)), len(re.findall("[a-z]", line))
+            bad |= upper > 20 and upper > 0.8 * (upper + small)
+            bad |= n >= 12 and plain_rules(line)[4] > 0.6 * n
+        lost += n * bad
+    return not plain_rules(t)[5] and lost <= 0.5 * len(split(t))
+
+
+def test_kept_is_the_plain_verdict(spark, docs):
+    menu = "\n".join(["Start | Über uns | Kontakt", "Home > Shop > Shoes", "a · b · c"] * 3)
+    body = "\n".join(" ".join(f"w{k}{j}" for j in range(12)) for k in range(8))
+    more = [f"{menu}\n{body}", f"{body}\n" + "\n".join(f"entry{k} one two | three four five | six seven eight {k}" for k in range(30)), f"{body}\nHe said yes | no | maybe.", None, ""]
+    texts = [*docs.text, *more]
+    got = {r.doc_id: r.kept for r in rules.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [plain_kept(t) for t in texts]
+    assert [got[len(docs) + k] for k in range(5)] == [True, False, True, False, False]
+
+
 def plain_hits(text, items):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     words, hit, own = find(text), set(), set()
@@ -186,3 +226,78 @@ def test_discriminant_is_the_posterior():
     f = np.concatenate([x[0][:50], x[1][:50]])
     logs = [-0.5 * ((f - c) ** 2).sum(1) / (1 + c) ** 2 - d * np.log(1 + c) for c in (0, 1)]
     assert np.corrcoef(m.score(f), 1 / (1 + np.exp(logs[0] - logs[1])))[0, 1] > 0.99
+
+
+def plain_vector(text, dim, cache={}):  # noqa: B006
+    """The sum of bound letters over all windows, one window at a time."""
+    letter = lambda c: np.random.Generator(np.random.Philox(key=c)).integers(0, 2, dim, np.int8).astype(int) * 2 - 1
+    codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+    out = np.zeros(dim)
+    for w in zip(codes, codes[1:], codes[2:], strict=False):
+        if w[1]:
+            if w not in cache:
+                cache[w] = np.roll(letter(w[0]), 2) * np.roll(letter(w[1]), 1) * letter(w[2])
+            out += cache[w]
+    return out
+
+
+def test_language_scores_are_the_plain_cosines(spark, docs):
+    """The whole query, ties and empty texts included."""
+    crc = [zlib.crc32(str(k).encode()) % 4 for k in docs.doc_id]
+    made = [plain_vector(t or "", langid.DIM) for t in docs.text]
+    sums = {}
+    for v, lang, rest in zip(made, docs.lang, crc, strict=True):
+        if rest != 2 and lang is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    names = sorted(sums)
+    protos = np.stack([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    got = {r.doc_id: r for r in langid.op9_language_id(spark, D).collect()}
+    for k, v, rest in zip(docs.doc_id, made, crc, strict=True):
+        r, size = got[k], np.linalg.norm(v)
+        assert r.held_out == (rest == 2)
+        if not size:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        cos = protos @ v / size
+        assert abs(r.score - max(0, cos.max())) < 1e-6 and cos[names.index(r.lang_pred)] > cos.max() - 1e-9
+    assert langid.predict(docs_frame := spark.createDataFrame([], "doc_id long, text string"), {}).count() == 0 and langid.prototypes(docs_frame.selectExpr("text", "text lang")) == {}
+    same = langid.prototypes(spark.createDataFrame([("abc", "b"), ("abc", "a")], "text string, lang string"))
+    assert [r.lang_pred for r in langid.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), same).collect()] == ["a"]
+
+
+def plain_statistics(t):
+    words = re.findall(r"[^ \t-\r]+", t)
+    if not words:
+        return [0.0] * 13
+    n, raw = len(words), t.encode()
+    body = sum(len(w.encode()) for w in words) + 60
+    share = lambda ok: sum(map(ok, t)) / body
+    mark = lambda c: "!" <= c <= "~" and not c.isalnum()
+    lines = [x for x in t.split("\n") if re.search(r"[^ \t-\r]", x)]
+    return [
+        np.log(1 + n), np.log(body / (n + 12)), share(lambda c: c in "#*$%&|<>") ** 0.5, share(mark) ** 0.5, share(lambda c: "A" <= c <= "Z") ** 0.5, share(lambda c: "0" <= c <= "9") ** 0.5,
+        plain_rules(t)[4] / (n + 12), np.log((n + 12) / (len(set(words)) + 12)), ((max(map(words.count, set(words))) - 1) / (n + 12)) ** 0.5,
+        (len(lines) - len(set(lines))) / (len(lines) + 3), sum(mark(w[-1]) for w in words) / (n + 12), np.log((n + 12) / (len(lines) + 1)), (sum(b > 127 for b in raw) / body) ** 0.5,
+    ]
+
+
+def test_quality_scores_are_the_plain_densities(spark, docs):
+    """The whole query from plain statistics, covariances and solved systems."""
+    labels = pd.read_parquet(f"{D}/labels.parquet").set_index("doc_id").quality
+    f = np.array([plain_statistics(t or "") for t in docs.text])
+    rest = np.array([zlib.crc32(str(k).encode()) % 5 for k in docs.doc_id])
+    label = np.array([labels.get(k, -1) for k in docs.doc_id])
+    learn = (rest != 0) & (label >= 0)
+    pooled = np.diag(f[learn].var(0).clip(1e-4))
+    logs = []
+    for c in (0, 1):
+        own = f[learn & (label == c)]
+        d = own - own.mean(0)
+        a = (0.2 * len(own) + 13) / (len(own) + 13)
+        cov = (1 - a) * d.T @ d / len(own) + a * pooled + 1e-4 * np.eye(13)
+        z = f - own.mean(0)
+        logs.append(np.log(len(own) / learn.sum()) - 0.5 * (z * np.linalg.solve(cov, z.T).T).sum(1) - 0.5 * np.linalg.slogdet(cov)[1])
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    got = quality.op2_quality(spark, D).toPandas().set_index("doc_id").loc[docs.doc_id]
+    assert (got.held_out.to_numpy() == (rest == 0)).all() and np.abs(got.score.to_numpy() - want).max() < 1e-6
+    assert (got.predicted == (got.score >= 0.3)).all()
