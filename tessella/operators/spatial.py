@@ -76,17 +76,31 @@ def bbox_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     return box_join(b, b, 7).where("fid <> r_fid").groupBy("fid").agg(F.count("*").alias("n_overlaps"))
 
 
+def tolerance(pixels: float, units_per_pixel: float) -> float:
+    """A click's reach in units of the map, from the reach on the screen and the scale."""
+    return max(0.0, pixels) * abs(units_per_pixel)
+
+
 def identify_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest feature of each layer within the tolerance of fixed query points; ties go to the smallest fid."""
-    queries = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (10, 10), (-100, 50), (33.3, -44.4), (150, -60)])], "q int, qx double, qy double")
-    tol = 4.0
-    s = fx.sites(spark, d).select(F.concat(F.lit("sites_"), "status").alias("layer"), "fid", F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
-    p = _boxes(spark, d).select(F.lit("parcels").alias("layer"), "fid", "minx", "miny", "maxx", "maxy")
-    near = s.union(p).join(F.broadcast(queries), (F.col("minx") <= F.col("qx") + tol) & (F.col("maxx") >= F.col("qx") - tol) & (F.col("miny") <= F.col("qy") + tol) & (F.col("maxy") >= F.col("qy") - tol))
-    gap = lambda q, lo, hi: F.greatest(F.lit(0.0), F.col(lo) - F.col(q), F.col(q) - F.col(hi))
-    dist = F.sqrt(gap("qx", "minx", "maxx") ** 2 + gap("qy", "miny", "maxy") ** 2)
-    best = near.withColumn("d", dist).where(F.col("d") <= tol).groupBy("q", "layer").agg(F.min(F.struct("d", "fid")).alias("b"))
-    return best.select("q", "layer", F.col("b.fid").alias("fid"), F.round("b.d", 6).alias("distance"))
+    """Nearest feature of each layer within a click's reach of fixed query points, with an attribute; ties go to the smallest fid.
+
+    The distance is that of the geometry: 0 inside a polygon, and in a hole that to its edge.
+    """
+    at = [(0, 0), (10, 10), (-100, 50), (33.3, -44.4), (150, -60), (43.5, 43.4), (-64.6, 16.55), (127.3, -10.3)]
+    queries = F.broadcast(spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)], "q int, qx double, qy double"))
+    tol = tolerance(10, 0.4)
+    close = lambda minx, miny, maxx, maxy: (F.col(minx) <= F.col("qx") + tol) & (F.col(maxx) >= F.col("qx") - tol) & (F.col(miny) <= F.col("qy") + tol) & (F.col(maxy) >= F.col("qy") - tol)
+    s = fx.sites(spark, d).join(queries, close("x", "y", "x", "y"))
+    s = s.select("q", F.concat(F.lit("sites_"), "status").alias("layer"), "fid", F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")).alias("d"), F.col("status").alias("attribute"))
+    # Boxes first, then the edges of those parcels alone.
+    boxes = _boxes(spark, d).join(queries, close("minx", "miny", "maxx", "maxy")).select("q", "qx", "qy", "fid")
+    edges = geom.segments(fx.parcel_vertices(spark, d), ["fid", "ring"]).join(boxes, "fid")
+    ends = [F.col(c) for c in ("qx", "qy", "x1", "y1", "x2", "y2")]
+    p = edges.groupBy("q", "fid").agg(F.min(geom.segment_distance(*ends)).alias("d"), (F.sum(geom.crosses_ray(*ends).cast("int")) % 2).alias("inside"))
+    p = p.join(fx.parcels(spark, d).select("fid", "brand"), "fid")
+    p = p.select("q", F.lit("parcels").alias("layer"), "fid", F.when(F.col("inside") == 1, 0.0).otherwise(F.col("d")).alias("d"), F.col("brand").alias("attribute"))
+    best = s.union(p).where(F.col("d") <= tol).groupBy("q", "layer").agg(F.min(F.struct("d", "fid", "attribute")).alias("b"))
+    return best.select("q", "layer", F.col("b.fid").alias("fid"), F.round("b.d", 6).alias("distance"), "b.attribute")
 
 
 def region_read(spark: SparkSession, d: str) -> DataFrame:
@@ -239,10 +253,12 @@ ORACLE_SQL = {
     "point_in_polygon_join": f"""with {fx.SITES_SQL}, {fx.PARCELS_SQL}, h as (select p.fid parcel, s.fid from sites s, parcels p where s.x>=x0 and s.x<x0+w and s.y>=y0 and s.y<y0+h
       and not (has_hole=1 and s.x>=x0+w*0.25e0 and s.x<x0+w*0.75e0 and s.y>=y0+h*0.25e0 and s.y<y0+h*0.75e0)) select parcel, count(*) n_sites, min(fid) first_site from h group by 1""",
     "bbox_overlap_join": f"with {fx.PARCELS_SQL}, {_BOX} select l.fid, count(*) n_overlaps from b l, b r where l.fid<>r.fid and l.minx<=r.maxx and r.minx<=l.maxx and l.miny<=r.maxy and r.miny<=l.maxy group by 1",
-    "identify_nearest": f"""with {fx.SITES_SQL}, {fx.PARCELS_SQL}, q(q,qx,qy) as (values (0,0e0,0e0),(1,10e0,10e0),(2,-100e0,50e0),(3,33.3e0,-44.4e0),(4,150e0,-60e0)),
-     a as (select 'sites_'||status layer, fid, x minx, y miny, x maxx, y maxy from sites union all select 'parcels', fid, x0, y0, x0+w, y0+h from parcels),
-     n as (select q, layer, fid, sqrt(pow(greatest(0e0,minx-qx,qx-maxx),2)+pow(greatest(0e0,miny-qy,qy-maxy),2)) d from a, q),
-     r as (select *, row_number() over (partition by q, layer order by d, fid) k from n where d<=4) select q, layer, fid, round(d,6) distance from r where k=1""",
+    # Rectangles are measured by their sides; their holes take the middle half of both.
+    "identify_nearest": f"""with {fx.SITES_SQL}, {fx.PARCELS_SQL}, q(q,qx,qy) as (values (0,0e0,0e0),(1,10e0,10e0),(2,-100e0,50e0),(3,33.3e0,-44.4e0),(4,150e0,-60e0),(5,43.5e0,43.4e0),(6,-64.6e0,16.55e0),(7,127.3e0,-10.3e0)),
+     h as (select *, has_hole=1 and qx>x0+w/4 and qx<x0+w*3/4 and qy>y0+h/4 and qy<y0+h*3/4 in_hole from parcels, q),
+     n as (select q, 'sites_'||status layer, fid, sqrt(pow(x-qx,2)+pow(y-qy,2)) d, status attribute from sites, q union all
+      select q, 'parcels', fid, case when in_hole then least(qx-x0-w/4, x0+w*3/4-qx, qy-y0-h/4, y0+h*3/4-qy) else sqrt(pow(greatest(0e0,x0-qx,qx-x0-w),2)+pow(greatest(0e0,y0-qy,qy-y0-h),2)) end, brand from h),
+     r as (select *, row_number() over (partition by q, layer order by d, fid) k from n where d<=4) select q, layer, fid, round(d,6) distance, attribute from r where k=1""",
     "region_read": f"""with {fx.PARCELS_SQL}, {_BOX}, r as (select fid, unnest(range({_tile(4, 'minx')}, {_tile(4, 'maxx')}+1)) tx, {_tile(4, 'miny')} a, {_tile(4, 'maxy')} z from b where minx<=20 and maxx>=-30 and miny<=25 and maxy>=-15),
      s as (select fid, tx, unnest(range(a, z+1)) ty from r) select cast(tx as int) tx, cast(ty as int) ty, count(*) n, min(fid) first_fid from s group by 1,2""",
     "grid_partition": f"""with {fx.SITES_SQL}, e as (select least(252, greatest(1, ceil(sqrt(2*count(*)/1000e0)))) g, min(x) ax, max(x) bx, min(y) ay, max(y) b_y from sites),

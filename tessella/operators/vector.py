@@ -81,8 +81,8 @@ def degenerate_faces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_wkt(spark: SparkSession, d: str) -> DataFrame:
-    """Text of parcels in tenths of a degree, so that coordinates are whole numbers."""
-    v = fx.parcel_vertices(spark, d).where("ring = 0").select("fid", "ring", "seq", *(F.round(F.col(c) * 20).cast("long").alias(c) for c in ("x", "y")))
+    """Text of parcels with their holes, in eightieths of a degree, so that coordinates are whole numbers."""
+    v = fx.parcel_vertices(spark, d).select("fid", "ring", "seq", *(F.round(F.col(c) * 80).cast("long").alias(c) for c in ("x", "y")))
     return geom.polygon_wkt(v)
 
 
@@ -186,8 +186,9 @@ ORACLE_SQL = {
      n as (select *, lead(qx) over w nx, lead(qy) over w ny from q window w as (partition by level, fid, part, ring order by seq)),
      p as (select level, fid, part, ring, sum(case when nx<>qx or ny<>qy then 1 else 0 end) n, abs(sum(qx*ny-nx*qy)) area2 from n where nx is not null group by 1,2,3,4)
      select level, case when n<3 then 'few_vertices' when area2<1 then 'no_area' else 'face' end outcome, count(*) n from p group by 1,2""",
-    "feature_wkt": f"""with {fx.VERTICES_SQL}, v as (select fid, seq, cast(round(x*20) as bigint)||' '||cast(round(y*20) as bigint) t from parcel_vertices where ring=0)
-     select fid, 'POLYGON (('||string_agg(t, ', ' order by seq)||'))' wkt from v group by fid""",
+    "feature_wkt": f"""with {fx.VERTICES_SQL}, v as (select fid, ring, seq, cast(round(x*80) as bigint)||' '||cast(round(y*80) as bigint) t from parcel_vertices),
+     r as (select fid, ring, '('||string_agg(t, ', ' order by seq)||')' t from v group by fid, ring)
+     select fid, 'POLYGON ('||string_agg(t, ', ' order by ring)||')' wkt from r group by fid""",
     "segment_clip": f"""with {fx.TRACKS_SQL}, {_TRACK_EDGES_SQL}, win as (select -100e0 a, -40e0 b, 60e0 c, 35e0 e), {_CLIP_SQL}
      select fid, count(*) n, round(sum(sqrt(((t1-t0)*(x2-x1))*((t1-t0)*(x2-x1))+((t1-t0)*(y2-y1))*((t1-t0)*(y2-y1)))),6) length from cl where ok and t0<=t1 group by 1""",
     "line_runs": f"""with {fx.TRACKS_SQL.replace("tracks as", "whole as")}, tracks as (select fid, seq, x, y*10-floor(y*10) y from whole),

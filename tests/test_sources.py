@@ -3,6 +3,7 @@ from __future__ import annotations
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions import crs
 from tessella.operators.tools import TOOLS, Arg, Registry, leaves, tree_from_json
@@ -132,3 +133,11 @@ def test_tile_store(spark, tmp_path):
     assert head["epsg"] == 4326 and {r.level for r in rings.select("level").distinct().collect()} <= {0, 1, 2}
     r = rings.first()
     assert pyramid.read_tile(rings, r.level, r.tx, r.ty).count() >= 1
+
+
+def test_clip_box_in_another_system(spark):
+    square = wkt.literal(spark, "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))", 4326).selectExpr("fid", "part", "ring", "seq", "x", "y")
+    x, y = crs.to_mercator(F.lit(5.0), F.lit(5.0))
+    corner = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    got = TOOLS.run("vector:clip", square, bbox=[0, 0, corner.x, corner.y], bbox_crs=3857).collect()
+    assert len(got) == 5 and max(r.x for r in got) == pytest.approx(5) and max(r.y for r in got) == pytest.approx(5)
