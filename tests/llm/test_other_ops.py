@@ -208,12 +208,12 @@ def test_numbered_surrogates_end_every_collision(spark, monkeypatch):
 
 def test_long_texts_of_bad_shapes(spark):
     """Shapes that overflow a stack, or take hours, where a pattern goes back over groups or starts inside a run."""
-    still = ["x" * 1_000_000 + " @", "a." * 300_000 + "@", "a@" * 300_000, "1." * 300_000, "1:" * 300_000, "DE89 " + "AAAA " * 200_000, "+1 " * 200_000, "0" * 1_000_000]
-    texts = [*still, "a@b" + ".c" * 100_000, "Herr " * 20_000, "1 " * 20_000]
+    still = ["x" * 300_000 + " @", "a." * 100_000 + "@", "a@" * 100_000, "1." * 50_000, "1:" * 50_000, "DE89 " + "AAAA " * 40_000, "+1 " * 50_000, "0" * 200_000]
+    texts = [*still, "a@b" + ".c" * 20_000, "Herr " * 4_000, "1 " * 4_000]
     out = [tuple(r)[1:] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     assert [r[0] for r in out[: len(still)]] == still
     assert len(out[-3][0]) == len(texts[-3]) and out[-3][0] != texts[-3] and out[-3][1] == 1
-    assert out[-2][5] == 10_000 and out[-1][4] == len(texts[-1]) // 2 // 19
+    assert out[-2][5] == 2_000 and out[-1][4] == len(texts[-1]) // 2 // 19
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
 
