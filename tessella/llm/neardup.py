@@ -265,9 +265,10 @@ def _large(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     family = materialise(connected(links.select("node", "hub").distinct()), "neardup-families") if links.limit(1).count() else links.select("node", F.col("node").alias("label"))
     often = links.groupBy("node").agg(F.count("*").alias("often")).join(family, "node")
     size = often.groupBy("label").agg(F.count("*").alias("size"))
-    group = F.when(F.col("size") <= GROUP, F.col("label")).otherwise(F.col("key").cast("string").cast("binary"))
-    groups = links.join(often, "node").join(size, "label").select(group.alias("group"), "node", "often").distinct()
-    groups = materialise(groups, "neardup-groups")
+    sized = materialise(often.join(size, "label").select("node", "label", "often", "size"), "neardup-sized")
+    whole = sized.where(F.col("size") <= GROUP).select(F.col("label").alias("group"), "node", "often")
+    parts = links.join(sized.where(F.col("size") > GROUP).select("node", "often"), "node").select(F.col("key").cast("string").cast("binary").alias("group"), "node", "often")
+    groups = materialise(whole.union(parts.distinct()), "neardup-groups")
     hubs = groups.groupBy("group").agg(F.max(F.struct("often", "node")).alias("most")).select("group", F.col("most.node").alias("hub"))
     stars = groups.join(hubs, "group").where("node <> hub").select("node", "hub")
     return groups.select("group", "node"), stars
