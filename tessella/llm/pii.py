@@ -209,9 +209,13 @@ def _iban(norm: Column, hexes: Column) -> Column:
 
 def surrogate(key: str, kind: Column, raw: Column, norm: Column, attempt: Column) -> Column:
     """The replacement of one mention."""
-    new = let(_digest(key, kind, norm, attempt), lambda h: _from_digest(h, kind, raw, norm, attempt))
-    numbered = F.when(kind == 0, F.concat(attempt.cast("string"), F.lit("-"), new)).otherwise(F.concat(new, F.lit("-"), attempt.cast("string")))
-    return F.when(attempt >= COUNTED, numbered).otherwise(new)
+
+    def numbered(new: Column) -> Column:
+        with_number = F.when(kind == 0, F.concat(attempt.cast("string"), F.lit("-"), new)).otherwise(F.concat(new, F.lit("-"), attempt.cast("string")))
+        return F.when(attempt >= COUNTED, with_number).otherwise(new)
+
+    # Bound, as each use of an expression would repeat all of it in the plan.
+    return let(let(_digest(key, kind, norm, attempt), lambda h: _from_digest(h, kind, raw, norm, attempt)), numbered)
 
 
 def _from_digest(h: Column, kind: Column, raw: Column, norm: Column, attempt: Column) -> Column:
@@ -235,7 +239,7 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     while True:
         number = F.lit(attempt).cast("long") if attempt < COUNTED else F.monotonically_increasing_id() * 64 + attempt
         made = open_.select("kind", "norm", number.alias("attempt"))
-        made = materialise(made.withColumn("made", normal(F.col("kind"), surrogate(key, F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt")))), "pii-made")
+        made = materialise(made.withColumn("made", let(surrogate(key, F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt")), lambda x: normal(F.col("kind"), x))), "pii-made")
         used = taken[0]
         for more in taken[1:]:
             used = used.union(more)
