@@ -7,8 +7,9 @@ of ``2 m m r``. With r = 3 and m = 16 a pair of similarity 0.75 meets in some ta
 ``(1 - (1 - 0.75**3)**16)**2``, over 0.9996, and one of 0.8 with over 0.9999.
 
 A bucket of at most ``DIRECT`` members compares them with each other, those of fitting size. A larger bucket never emits its
-pairs. Larger buckets that share members form a group (one more run of :func:`connected`); a group of more than ``GROUP`` members
-is left in its buckets instead, each a group. A group has a hub, the member of most large buckets, and every member is compared with
+pairs. Larger buckets are merged by the half of their key from the first collection, so a node has at most ``m`` rows there and
+not one for each table; merged buckets that share members form a group (one more run of :func:`connected`), which holds every
+pair that meets in a large bucket. A group of more than ``GROUP`` members is left in its merged buckets instead, each a group. A group has a hub, the member of most merged buckets, and every member is compared with
 it on full sets. That settles the bulk of near copies. Groups that still hold several components are settled in blocks of about
 ``BLOCK`` members: each pair of blocks is one small task that counts all overlaps at once and returns a spanning set of links,
 and pairs of blocks of one component are left out. So every pair that meets in some table is settled on full sets, whatever
@@ -260,8 +261,10 @@ def _direct(few: DataFrame) -> DataFrame:
 
 
 def _large(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(group, node) and (node, hub) of the large buckets' ``members`` (key, node, first)."""
-    links = materialise(members.select("node", F.col("first").alias("hub"), "key"), "neardup-large")
+    """(group, node) and (node, hub) of the merged buckets' ``members`` (key, node)."""
+    members = materialise(members.select("node", "key"), "neardup-large")
+    first = members.groupBy("key").agg(F.min("node").alias("hub"))
+    links = materialise(members.join(first, "key").select("node", "hub", "key"), "neardup-large-links")
     family = materialise(connected(links.select("node", "hub").distinct()), "neardup-families") if links.limit(1).count() else links.select("node", F.col("node").alias("label"))
     often = links.groupBy("node").agg(F.count("*").alias("often")).join(family, "node")
     size = often.groupBy("label").agg(F.count("*").alias("size"))
@@ -287,14 +290,17 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = halves.join(shared, "half").groupBy("node", "n").agg(
         F.collect_list(F.when(F.col("band") < BANDS, F.col("half"))).alias("first"), F.collect_list(F.when(F.col("band") >= BANDS, F.col("half"))).alias("second")
     )
-    members = held.select("node", "n", F.explode("first").alias("a"), "second").select("node", "n", "a", F.explode("second").alias("b")).select("node", "n", F.xxhash64("a", "b").alias("key"))
+    held = materialise(held, "neardup-shared-halves")
+    starts = held.select("node", "n", F.explode("first").alias("a"), "second")
+    members = starts.select("node", "n", "a", F.explode("second").alias("b")).select("node", "n", "a", F.xxhash64("a", "b").alias("key"))
     members = materialise(members, "neardup-members")
-    buckets = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("k")).where("first <> last")
-    buckets = materialise(buckets.select("key", "first", "k"), "neardup-buckets")
-    groups, stars = _large(members.join(buckets.where(F.col("k") > DIRECT), "key"))
-    pairs = _direct(members.join(buckets.where(F.col("k") <= DIRECT).select("key"), "key"))
+    buckets = members.groupBy("key", "a").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("k")).where("first <> last")
+    buckets = materialise(buckets.select("key", "a", "k"), "neardup-buckets")
+    large = buckets.where(F.col("k") > DIRECT).select("a").distinct()
+    groups, stars = _large(starts.where(F.size("second") > 0).select("node", "a").join(large, "a").select("node", F.col("a").alias("key")))
+    pairs = _direct(members.join(buckets.where(F.col("k") <= DIRECT).select("key", "a"), ["key", "a"]).drop("a"))
     pairs = materialise(pairs.union(stars).distinct(), "neardup-pairs")
-    discard(shared, members, buckets)
+    discard(shared, held, members, buckets)
     met = pairs.select("node").union(pairs.select("hub")).distinct()
     met = materialise(nodes.join(met, "node", "left_semi").select("node", "rep"), "neardup-met")
     sets = materialise(_sets(docs, met), "neardup-sets")
