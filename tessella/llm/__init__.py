@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "quality", "warc", "rules", "urlfilter", "neardup", "bpe", "pii", "langid", "decontam")
+MODULES = ("secrets", "quality", "warc", "rules", "urlfilter", "neardup", "bpe", "pii", "langid", "decontam", "shards", "infill", "periodic")
 
 
 def queries() -> dict:

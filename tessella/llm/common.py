@@ -14,20 +14,24 @@ from tessella.shared import shared_dir
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
-
-    The folder is removed when the driver's JVM ends.
-    """
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    place, system = _place(spark, path)
-    system.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialised_at = path
     return out
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return f"{path}/data"
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
