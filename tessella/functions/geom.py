@@ -5,6 +5,8 @@ A layer in vertex form has one row per vertex: ``fid, part, ring, seq, x, y`` (l
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,3 +153,58 @@ def nth_value(df: DataFrame, column: str, p: float) -> DataFrame:
     inside = b.join(F.broadcast(target.select("b", (F.col("end") - F.col("nb")).alias("before"), F.floor(F.lit(p) * (F.col("n") - 1)).alias("at"))), "b")
     ranked = inside.withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("b").orderBy("v")))
     return ranked.where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("k") <= F.col("at"))).select("v")
+
+
+RING = "array<struct<x:double,y:double>>"
+
+
+def ring_points(vertices: DataFrame, by: list[str]) -> DataFrame:
+    """One row a ring or line: by and ``p``, its vertices in order."""
+    at = F.array_sort(F.collect_list(F.struct("seq", F.struct("x", "y").alias("v"))))
+    return vertices.groupBy(*by).agg(F.transform(at, lambda s: s["v"]).alias("p"))
+
+
+def ring_area2(p: Column) -> Column:
+    """Twice the signed area of a ring in array form, closed or open."""
+    n = F.size(p)
+    cross = lambda v, i: v["x"] * p[(i + 1) % n]["y"] - p[(i + 1) % n]["x"] * v["y"]
+    return F.aggregate(F.transform(p, cross), F.lit(0.0), lambda a, b: a + b)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def apart(p: Column) -> Column:
+    """A ring in array form without vertices equal to the one before."""
+    return _bound(p, lambda r: F.filter(r, lambda v, i: (v != r[(i + F.size(r) - 1) % F.size(r)]) | (F.size(r) == 1)))
+
+
+def clip_ring(p: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """An open ring in array form cut to a rectangle, one side after the other; fewer than three vertices if nothing is left.
+
+    Where a rectangle cuts a ring into several pieces they stay joined along its border, so areas are exact.
+    """
+    side = lambda on_x, bound, sign: F.struct(F.lit(on_x).alias("on_x"), bound.cast("double").alias("bound"), F.lit(sign).alias("sign"))
+    sides = F.array(side(True, minx, 1.0), side(True, maxx, -1.0), side(False, miny, 1.0), side(False, maxy, -1.0))
+
+    def cut(ring: Column, s: Column) -> Column:
+        across = lambda v: F.when(s["on_x"], v["x"]).otherwise(v["y"])
+        along = lambda v: F.when(s["on_x"], v["y"]).otherwise(v["x"])
+        inside = lambda v: (across(v) - s["bound"]) * s["sign"] >= 0
+
+        def step(v: Column, i: Column) -> Column:
+            u = ring[(i + F.size(ring) - 1) % F.size(ring)]
+            at = along(u) + (s["bound"] - across(u)) / (across(v) - across(u)) * (along(v) - along(u))
+            cross = F.struct(F.when(s["on_x"], s["bound"]).otherwise(at).alias("x"), F.when(s["on_x"], at).otherwise(s["bound"]).alias("y"))
+            return F.when(inside(v) & inside(u), F.array(v)).when(inside(v), F.array(cross, v)).when(inside(u), F.array(cross)).otherwise(F.array().cast(RING))
+
+        return F.flatten(F.transform(ring, step))
+
+    return apart(F.reduce(sides, p, cut))
+
+
+def open_points(p: Column) -> Column:
+    """A ring in array form without its closing vertex."""
+    return F.when((F.size(p) > 1) & (p[0] == F.element_at(p, -1)), F.slice(p, 1, F.size(p) - 1)).otherwise(p)

@@ -13,13 +13,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import fixtures as fx
 from tessella.functions import crs, geom, kernels
-from tessella.operators import raster
-from tessella.shared import shared_dir
+from tessella.operators import dissolve, outlines, raster
 
 TRUE = ("1", "true", "TRUE", "yes", "on")
 
@@ -160,6 +159,14 @@ def buffer(layer: DataFrame, distance: float, endcap: str, join: str) -> DataFra
     return _map_rings(layer, work)
 
 
+def buffer_outline(layer: DataFrame, distance: float, unit: float = 1e-6) -> DataFrame:
+    """The buffer of each feature as the outline of the union of its pieces: fid, ring, seq, x, y."""
+    pieces = TOOLS.run("vector:buffer", layer, distance=distance)
+    # Every piece counts as a polygon of its own.
+    own = pieces.select("fid", F.xxhash64("part", "ring").alias("piece"), F.lit(0).alias("ring"), "seq", "x", "y")
+    return dissolve.rings(dissolve.union_edges(own, ["fid"], unit), ["fid"], unit)
+
+
 @TOOLS.tool("vector:clip", "Clip", Arg("bbox", "list"), Arg("bbox_crs", "integer", 4326), Arg("layer_crs", "integer", 4326))
 def clip(layer: DataFrame, bbox: list | None, bbox_crs: int, layer_crs: int) -> DataFrame:
     """Rings and lines inside a box, which is taken to the layer's system first; no box leaves the layer as it is."""
@@ -232,42 +239,12 @@ def hillshade(cells: DataFrame, azimuth: float, altitude: float, zfactor: float)
 
 @TOOLS.tool("raster:polygonize", "Polygonize", Arg("attribute_name", default="dn"))
 def polygonize(cells: DataFrame, attribute_name: str) -> DataFrame:
-    """Regions of equal value joined over cell sides: region, value, n_cells and n_edges of the outline.
-
-    Runs of equal cells in rows are found by gaps and islands first, so labels spread between runs, not cells; labels are
-    written after each round and jump to their label's label, so long regions take few rounds.
-    """
-    w = Window.partitionBy("row_").orderBy("col")
-    new = F.coalesce((F.lag("z").over(w) != F.col("z")) | (F.lag("col").over(w) != F.col("col") - 1), F.lit(True))
-    runs = cells.withColumn("k", F.sum(new.cast("int")).over(w)).groupBy("row_", "k", "z").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-    runs = runs.select((F.col("row_").cast("long") * 2097152 + F.col("a")).alias("id"), "row_", "a", "b", "z")
-    runs = _cut(runs)
-    below = runs.select((F.col("row_") - 1).alias("row_"), F.col("id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob"), "z")
-    pairs = runs.join(below, ["row_", "z"]).where("a <= ob and oa <= b").select("id", "other")
-    edges = _cut(pairs.union(pairs.select("other", "id")))
-    labels = _cut(runs.select("id", F.col("id").alias("label")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("id", "other"), "other").select("id", "label").union(labels)
-        spread = _cut(near.groupBy("id").agg(F.min("label").alias("label")))
-        jumped = _cut(spread.join(spread.select(F.col("id").alias("label"), F.col("label").alias("to")), "label").select("id", F.col("to").alias("label")))
-        changed = jumped.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            break
-    whole = runs.join(labels, "id")
-    touch = edges.join(runs.select("id", "a", "b"), "id").join(runs.select(F.col("id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob")), "other")
+    """Regions of equal value joined over cell sides: region, value, n_cells and n_edges of the outline; :func:`outlines.outlines` gives the rings."""
+    runs, touching = outlines.label_runs(cells)
+    touch = touching.join(runs.select("id", "a", "b"), "id").join(runs.select(F.col("id").alias("other"), F.col("a").alias("oa"), F.col("b").alias("ob")), "other")
     shared = touch.groupBy("id").agg(F.sum(F.least("b", "ob") - F.greatest("a", "oa") + 1).alias("shared"))
-    per = whole.join(shared, "id", "left")
     outline = F.sum((F.col("b") - F.col("a") + 1) * 2 + 2 - F.coalesce("shared", F.lit(0)))
-    return per.groupBy(F.col("label").alias("region"), F.col("z").alias(attribute_name)).agg(F.sum(F.col("b") - F.col("a") + 1).alias("n_cells"), outline.alias("n_edges"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    return runs.join(shared, "id", "left").groupBy("region", F.col("z").alias(attribute_name)).agg(F.sum(F.col("b") - F.col("a") + 1).alias("n_cells"), outline.alias("n_edges"))
 
 
 def polygonize_dem(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,12 @@ MODULES: tuple[str, ...] = (
     "tessella.operators.lookup",
     "tessella.operators.raster",
     "tessella.operators.tools",
+    "tessella.operators.quadtree",
+    "tessella.operators.outlines",
+    "tessella.operators.dissolve",
+    "tessella.operators.fill",
+    "tessella.sources.clustered",
+    "tessella.sources.region",
     "tessella.plans.pyramid",
     "tessella.streaming.events",
 )

@@ -6,8 +6,9 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,42 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = _place(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one; it is removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, and a lost executor costs no earlier step."""
+    path = f"{scratch(df.sparkSession, tag)}/data"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove tables of :func:`written` that no later step reads."""
+    for df in frames:
+        remove(df.sparkSession, df.written_at)
