@@ -164,16 +164,25 @@ def ring_points(vertices: DataFrame, by: list[str]) -> DataFrame:
     return vertices.groupBy(*by).agg(F.transform(at, lambda s: s["v"]).alias("p"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ring_area2(p: Column) -> Column:
     """Twice the signed area of a ring in array form, closed or open."""
-    n = F.size(p)
-    cross = lambda v, i: v["x"] * p[(i + 1) % n]["y"] - p[(i + 1) % n]["x"] * v["y"]
-    return F.aggregate(F.transform(p, cross), F.lit(0.0), lambda a, b: a + b)
+    after = lambda r, i: r[(i + 1) % F.size(r)]
+    return _bound(p, lambda r: F.aggregate(F.transform(r, lambda v, i: v["x"] * after(r, i)["y"] - after(r, i)["x"] * v["y"]), F.lit(0.0), lambda a, b: a + b))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
+def whole(p: Column, least: float = 0.0) -> Column:
+    """Whether an open ring in array form has three vertices and a doubled area over ``least``."""
+    return _bound(p, lambda r: (F.size(r) > 2) & (F.abs(ring_area2(r)) > least))
+
+
+def only(value: Column, keep: Callable[[Column], Column]) -> Column:
+    """To be selected: the value, in rows where ``keep`` holds. It is worked out once, which a filter after it wouldn't do."""
+    return F.explode(F.filter(F.array(value), keep))
 
 
 def apart(p: Column) -> Column:

@@ -25,7 +25,7 @@ def polygons(vertices: DataFrame, by: list[str], unit: float) -> DataFrame:
     """by, piece, and ``rings``, the open rings of each polygon on the grid, shells (ring 0) anticlockwise and holes clockwise."""
     snap = lambda c: F.round(F.col(c) / unit).cast("long").alias(c)
     r = geom.ring_points(vertices.select(*by, "piece", "ring", "seq", snap("x"), snap("y")), [*by, "piece", "ring"])
-    r = r.withColumn("p", geom.apart(geom.open_points(F.col("p")))).where("size(p) > 2")
+    r = r.select(*by, "piece", "ring", geom.only(geom.apart(geom.open_points(F.col("p"))), lambda p: F.size(p) > 2).alias("p"))
     turned = F.when((geom.ring_area2(F.col("p")) > 0) == (F.col("ring") == 0), F.col("p")).otherwise(F.reverse("p"))
     return r.withColumn("p", turned).groupBy(*by, "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "p"))), lambda s: s["p"]).alias("rings"))
 

@@ -62,7 +62,7 @@ def drawable_tiles(rings: DataFrame, level: int, deepest: int, min_fill_cells: f
     cut = geom.clip_ring(geom.open_points(F.col("p")), left, low, left + side, low + side)
     snapped = F.transform(cut, lambda v: F.struct(F.round((v["x"] - left) / cell).cast("long").alias("x"), F.round((v["y"] - low) / cell).cast("long").alias("y")))
     key = ["tx", "ty", "fid", "part", "ring"]
-    held = tiles.select(*key, geom.apart(snapped).alias("p")).where("size(p) > 2")
+    held = tiles.select(*key, geom.only(geom.apart(snapped), lambda p: F.size(p) > 2).alias("p"))
     n = F.size("p")
     pair = F.transform("p", lambda v, i: F.struct(v["x"].alias("x1"), v["y"].alias("y1"), F.col("p")[(i + 1) % n]["x"].alias("x2"), F.col("p")[(i + 1) % n]["y"].alias("y2")))
     segments = held.select(*key, F.abs(geom.ring_area2(F.col("p"))).alias("area2"), F.explode(pair).alias("s")).select(*key, "area2", "s.*")

@@ -17,6 +17,8 @@ MODULES: tuple[str, ...] = (
     "tessella.operators.fill",
     "tessella.sources.clustered",
     "tessella.sources.region",
+    "tessella.plans.planner",
+    "tessella.plans.chain",
     "tessella.plans.pyramid",
     "tessella.streaming.events",
 )

@@ -54,7 +54,7 @@ class Region:
         left, low = F.lit(self.square.x) + F.col("tx") * side, F.lit(self.square.y) + F.col("ty") * side
         cut = geom.clip_ring(geom.open_points(F.col("p")), left, low, left + side, low + side)
         single = F.transform(cut, lambda v: F.struct(v["x"].cast("float").alias("x"), v["y"].cast("float").alias("y")))
-        return self.rings.join(places, "fid").select("tile", "fid", "part", "ring", geom.apart(single).alias("p")).where("size(p) > 2")
+        return self.rings.join(places, "fid").select("tile", "fid", "part", "ring", geom.only(geom.apart(single), lambda p: F.size(p) > 2).alias("p"))
 
     def chunk(self, most: int, after: Token | None = None) -> tuple[DataFrame, Token | None]:
         """Pieces at the next ``most`` places behind a token, and the next token; None when nothing was left."""
