@@ -164,7 +164,7 @@ def ring_points(vertices: DataFrame, by: list[str]) -> DataFrame:
     return vertices.groupBy(*by).agg(F.transform(at, lambda s: s["v"]).alias("p"))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, however often it is used."""
     return F.transform(F.array(value), use)[0]
 
@@ -172,12 +172,12 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def ring_area2(p: Column) -> Column:
     """Twice the signed area of a ring in array form, closed or open."""
     after = lambda r, i: r[(i + 1) % F.size(r)]
-    return _bound(p, lambda r: F.aggregate(F.transform(r, lambda v, i: v["x"] * after(r, i)["y"] - after(r, i)["x"] * v["y"]), F.lit(0.0), lambda a, b: a + b))
+    return bound(p, lambda r: F.aggregate(F.transform(r, lambda v, i: v["x"] * after(r, i)["y"] - after(r, i)["x"] * v["y"]), F.lit(0.0), lambda a, b: a + b))
 
 
 def whole(p: Column, least: float = 0.0) -> Column:
     """Whether an open ring in array form has three vertices and a doubled area over ``least``."""
-    return _bound(p, lambda r: (F.size(r) > 2) & (F.abs(ring_area2(r)) > least))
+    return bound(p, lambda r: (F.size(r) > 2) & (F.abs(ring_area2(r)) > least))
 
 
 def only(value: Column, keep: Callable[[Column], Column]) -> Column:
@@ -187,7 +187,7 @@ def only(value: Column, keep: Callable[[Column], Column]) -> Column:
 
 def apart(p: Column) -> Column:
     """A ring in array form without vertices equal to the one before."""
-    return _bound(p, lambda r: F.filter(r, lambda v, i: (v != r[(i + F.size(r) - 1) % F.size(r)]) | (F.size(r) == 1)))
+    return bound(p, lambda r: F.filter(r, lambda v, i: (v != r[(i + F.size(r) - 1) % F.size(r)]) | (F.size(r) == 1)))
 
 
 def clip_ring(p: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:

@@ -130,6 +130,15 @@ def rasterize(vertices: DataFrame, cell: float, value: Column | float = 1.0, by:
     return cells.groupBy("col", "row_").agg(F.max("fid").alias("fid"), F.count("*").alias("n")).withColumn("value", value)
 
 
+def block_rectangle(col0: Column, row0: Column, cols: Column, rows: Column, width: int, height: int, affine: tuple[float, ...]) -> tuple[Column, Column, Column, Column]:
+    """The world rectangle of a block of cells, cut to the raster, from its four corners by all six terms: minx, miny, maxx, maxy."""
+    a, b, c, d, e, f = affine
+    inside = lambda v, most: F.greatest(F.lit(0), F.least(F.lit(most), v)).cast("double")
+    corners = [(inside(p, width), inside(q, height)) for p in (col0, col0 + cols) for q in (row0, row0 + rows)]
+    xs, ys = [F.lit(a) + p * b + q * c for p, q in corners], [F.lit(d) + p * e + q * f for p, q in corners]
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
 def scatter(points: DataFrame, cols: int, rows: int) -> DataFrame:
     """Points (lon, lat, value, id) put forward onto a regular grid over their bounds; the closest to a cell's centre wins."""
     b = points.agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))

@@ -17,10 +17,13 @@ MODULES: tuple[str, ...] = (
     "tessella.operators.fill",
     "tessella.sources.clustered",
     "tessella.sources.region",
+    "tessella.sources.arrays",
+    "tessella.functions.arcs",
     "tessella.plans.planner",
     "tessella.plans.chain",
     "tessella.plans.pyramid",
     "tessella.streaming.events",
+    "tessella.streaming.loading",
 )
 
 
