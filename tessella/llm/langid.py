@@ -9,8 +9,9 @@ Letters are what Unicode calls letters, lower-cased; anything else is one bounda
 the boundary are left out. Sums are of integers, so results don't depend on how rows are batched.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if nothing can be
-learned; ties go to the language that sorts first; a cosine below 0 counts as 0; repeated rows give repeated results;
-null ids are never held out and never learned from; extra columns are ignored.
+learned; a text with letters always gets a learned language, with score 0 if its letters were never seen; ties go to the
+language that sorts first; a cosine below 0 counts as 0; texts of any length are bundled whole; repeated rows give repeated results;
+null ids are never held out and never learned from; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,14 +155,15 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = space(dim)
         for rb in pieces(batches, "text", 1 << 18, 48):
-            v = bundle(texts_of(rb, "text"), sp)
+            texts = texts_of(rb, "text")
+            v = bundle(texts, sp)
             size = np.linalg.norm(v, axis=1)
             pred, score = [UNKNOWN] * len(v), np.zeros(len(v))
             if names:
                 cos = v @ shared.value.T / np.where(size > 0, size, 1)[:, None]
                 best = cos.argmax(1)
                 score = np.where(size > 0, np.clip(cos[np.arange(len(v)), best], 0, 1), 0)
-                pred = [names[b] if s > 0 else UNKNOWN for b, s in zip(best, size, strict=True)]
+                pred = [names[b] if s > 0 or any(map(str.isalpha, t)) else UNKNOWN for b, s, t in zip(best, size, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.round(score, 9))], [*keep, "lang_pred", "score"])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)

@@ -228,3 +228,26 @@ def test_detect_on_odd_rows(spark):
     assert {r.doc_id: r.collapsed for r in got}["id8"] == "a b c"
     assert periodic.detect(df.limit(0)).collect() == []
     assert periodic.planted(None, np.arange(5)).tolist() == list(range(5))
+
+
+# Mended operators
+
+
+def test_letters_never_learned_still_get_a_language(spark):
+    from tessella.llm import langid
+
+    learned = langid.prototypes(spark.createDataFrame([("the cat sat on the mat", "en"), ("der hund liegt im gras", "de")], "text string, lang string"))
+    rng = random.Random(5)
+    scripts = [(0x4E00, 0x9FA5), (0x0400, 0x044F), (0x05D0, 0x05EA), (0x0E01, 0x0E2E)]
+    texts = ["".join(chr(rng.randint(*rng.choice(scripts))) for _ in range(rng.randrange(1, 40))) for _ in range(200)] + ["", None, "12 - 34", "é"]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), learned).collect()
+    for r in got:
+        has_letter = any(map(str.isalpha, texts[r.doc_id] or ""))
+        assert (r.lang_pred in ("de", "en")) == has_letter and (has_letter or (r.lang_pred == "und" and r.score == 0)) and 0 <= r.score <= 1
+
+
+def test_tokens_of_rows_with_string_ids(spark):
+    from tessella.llm import bpe
+
+    got = bpe.encode_decode(spark.createDataFrame([("a", "hello world"), (None, None)], "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.n_tokens > 0, r.decoded_sha256) for r in got} == {"a": (True, sha("hello world")), None: (False, sha(""))}
