@@ -115,13 +115,23 @@ def web_text(x: Column, y: Column) -> Column:
     return F.concat_ws(" ", x.cast("string"), y.cast("string"))
 
 
+def wkt(vertices: DataFrame, kind: int = FACE) -> DataFrame:
+    """fid and text of layers in vertex form: POLYGON, LINESTRING or POINT, and their MULTI forms for features of several parts."""
+    for c in ("part", "ring", "seq"):
+        vertices = vertices if c in vertices.columns else vertices.withColumn(c, F.lit(0))
+    joined = lambda rows, by, text, order: rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda r: r["t"]), ", ").alias("t"), F.count("*").alias("n"))
+    held = F.concat(F.lit("("), F.col("t"), F.lit(")"))
+    t = joined(vertices, ["fid", "part", "ring"], web_text(F.col("x"), F.col("y")), "seq")
+    if kind == FACE:
+        t = joined(t, ["fid", "part"], held, "ring")
+    t = joined(t.select("fid", "part", "t"), ["fid"], held, "part")
+    name = {FACE: "POLYGON", LINE: "LINESTRING", POINT: "POINT"}[kind]
+    return t.select("fid", F.when(F.col("n") > 1, F.concat(F.lit(f"MULTI{name} ("), "t", F.lit(")"))).otherwise(F.concat(F.lit(f"{name} "), "t")).alias("wkt"))
+
+
 def polygon_wkt(vertices: DataFrame) -> DataFrame:
-    """fid and POLYGON text of layers in vertex form, one part each."""
-    pair = F.struct("seq", web_text(F.col("x"), F.col("y")).alias("t"))
-    rings = vertices.groupBy("fid", "ring").agg(F.array_sort(F.collect_list(pair)).alias("v"))
-    text = F.concat(F.lit("("), F.array_join(F.transform("v", lambda p: p["t"]), ", "), F.lit(")"))
-    whole = rings.select("fid", F.struct("ring", text.alias("t")).alias("r")).groupBy("fid").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    return whole.select("fid", F.concat(F.lit("POLYGON ("), F.array_join(F.transform("rs", lambda r: r["t"]), ", "), F.lit(")")).alias("wkt"))
+    """fid and POLYGON or MULTIPOLYGON text of layers in vertex form."""
+    return wkt(vertices, FACE)
 
 
 def ordered_index(df: DataFrame, key: str, bucket: Column) -> DataFrame:

@@ -60,7 +60,7 @@ def ring_tiles(spark: SparkSession, d: str) -> DataFrame:
 def point_in_polygon_join(spark: SparkSession, d: str) -> DataFrame:
     """Sites in parcels, holes excluded, by ray casting over ring edges."""
     level = 7
-    e = geom.segments(fx.parcel_vertices(spark, d), ["fid", "ring"])
+    e = geom.segments(fx.parcel_vertices(spark, d), ["fid", "part", "ring"])
     box = _boxes(spark, d).select("fid", "minx", "miny", "maxx", "maxy")
     tiles = with_tiles(box, level, *(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))).withColumnRenamed("fid", "parcel")
     s = with_tile(fx.sites(spark, d).select("fid", "x", "y"), level)
@@ -94,7 +94,8 @@ def identify_nearest(spark: SparkSession, d: str) -> DataFrame:
     s = s.select("q", F.concat(F.lit("sites_"), "status").alias("layer"), "fid", F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")).alias("d"), F.col("status").alias("attribute"))
     # Boxes first, then the edges of those parcels alone.
     boxes = _boxes(spark, d).join(queries, close("minx", "miny", "maxx", "maxy")).select("q", "qx", "qy", "fid")
-    edges = geom.segments(fx.parcel_vertices(spark, d), ["fid", "ring"]).join(boxes, "fid")
+    near = fx.parcel_vertices(spark, d).join(boxes.select("fid").distinct(), "fid", "left_semi")
+    edges = geom.segments(near, ["fid", "part", "ring"]).join(boxes, "fid")
     ends = [F.col(c) for c in ("qx", "qy", "x1", "y1", "x2", "y2")]
     p = edges.groupBy("q", "fid").agg(F.min(geom.segment_distance(*ends)).alias("d"), (F.sum(geom.crosses_ray(*ends).cast("int")) % 2).alias("inside"))
     p = p.join(fx.parcels(spark, d).select("fid", "brand"), "fid")

@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella import fixtures as fx
@@ -122,7 +122,7 @@ def leaves(tool: Tool) -> list[Tool]:
 
 
 TOOLS = Registry()
-_RINGS = "fid long, part int, ring int, seq int, x double, y double"
+_RINGS = "fid long, part int, piece int, ring int, seq int, x double, y double"
 
 
 def _map_rings(vertices: DataFrame, work: Callable[[list], list[list]]) -> DataFrame:
@@ -133,14 +133,20 @@ def _map_rings(vertices: DataFrame, work: Callable[[list], list[list]]) -> DataF
             rows = []
             for r in f.itertuples(index=False):
                 for k, ring in enumerate(work([(p["x"], p["y"]) for p in r.p])):
-                    rows += [(r.fid, r.part * 1024 + k if k else r.part, r.ring, s, float(x), float(y)) for s, (x, y) in enumerate(ring)]
-            yield pd.DataFrame(rows, columns=["fid", "part", "ring", "seq", "x", "y"])
+                    rows += [(r.fid, r.part, k, r.ring, s, float(x), float(y)) for s, (x, y) in enumerate(ring)]
+            yield pd.DataFrame(rows, columns=["fid", "part", "piece", "ring", "seq", "x", "y"])
 
     v = vertices
     for c in ("part", "ring"):
         if c not in v.columns:
             v = v.withColumn(c, F.lit(0))
-    return v.groupBy("fid", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p")).mapInPandas(run, _RINGS)
+    return v.groupBy("fid", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p")).mapInPandas(run, _RINGS).transform(_numbered)
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Each piece of a part as a part of its own, numbered within the feature."""
+    own = F.dense_rank().over(Window.partitionBy("fid").orderBy("part", "piece")) - 1
+    return pieces.withColumn("part", own.cast("int")).drop("piece")
 
 
 def _closed(ring: list) -> bool:

@@ -21,7 +21,7 @@ from tessella import fixtures as fx
 from tessella.functions import geom, grid, kernels
 from tessella.plans import topology
 
-RING_SCHEMA = "level int, tx int, ty int, type int, hole int, poly_group long, fid long, xs array<int>, ys array<int>, reason string, cell int"
+RING_SCHEMA = "level int, tx int, ty int, type int, hole int, poly_group string, fid long, xs array<int>, ys array<int>, reason string, cell int"
 COVER_SCHEMA = "level int, tx int, ty int, cell int, cnt int"
 STORE_VERSION = 1
 
@@ -57,7 +57,7 @@ def rings_of(vertices: DataFrame, kind: int) -> DataFrame:
     hole = (F.col("ring") > 0).cast("int") if "ring" in by else F.lit(0)
     least = {geom.FACE: 3, geom.LINE: 2, geom.POINT: 1}[kind]
     return pts.where(F.size("p") >= least).select(
-        "fid", F.lit(kind).alias("type"), hole.alias("hole"), (F.col("fid") * 1024 + part).cast("long").alias("poly_group"), F.transform("p", lambda v: v["x"]).alias("xs"), F.transform("p", lambda v: v["y"]).alias("ys")
+        "fid", F.lit(kind).alias("type"), hole.alias("hole"), F.concat_ws(":", "fid", part).alias("poly_group"), F.transform("p", lambda v: v["x"]).alias("xs"), F.transform("p", lambda v: v["y"]).alias("ys")
     )
 
 
@@ -226,8 +226,8 @@ def merge_coarse(routed: DataFrame, cfg: PyramidConfig) -> DataFrame:
     return routed.where(F.col("level") != to).union(merged.where("reason <> 'stub'")).union(stubs).union(routed.where((F.col("level") == to) & (F.col("reason") == "coverage")))
 
 
-def build(layer_rings: DataFrame, square: grid.Square, cfg: PyramidConfig, merge: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rings in tiles, coverage cells)."""
+def build(layer_rings: DataFrame, square: grid.Square, cfg: PyramidConfig, merge: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rings in tiles, coverage cells); the coarsest level is made from the next finer one unless ``merge`` is off."""
     routed = route(layer_rings, square, cfg)
     cover = coverage(routed)
     return tidy_tiles(merge_coarse(routed, cfg) if merge else routed, cfg), cover
@@ -320,7 +320,7 @@ def tile_codec(spark: SparkSession, d: str) -> DataFrame:
         f = f.sort_values(["fid", "hole"])
         verts = np.array([p for x, y in zip(f["xs"], f["ys"], strict=True) for p in zip(x, y, strict=True)], np.int16).reshape(-1, 2)
         first = np.cumsum([0, *f["xs"].map(len)])[:-1]
-        rings = [(int(t), int(h), int(a), len(x), int(g) % (1 << 31)) for t, h, a, x, g in zip(f.type, f.hole, first, f["xs"], f.poly_group, strict=True)]
+        rings = [(int(t), int(h), int(a), len(x), int(g)) for t, h, a, x, g in zip(f.type, f.hole, first, f["xs"], pd.factorize(f.poly_group)[0], strict=True)]
         data = kernels.encode_tile(verts, rings, [])
         back, rings2, _ = kernels.decode_tile(data)
         return pd.DataFrame([(f.level.iloc[0], f.tx.iloc[0], f.ty.iloc[0], len(data), bool((back == verts).all() and rings2 == rings))], columns=["level", "tx", "ty", "bytes", "same"])

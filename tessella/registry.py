@@ -15,9 +15,12 @@ MODULES: tuple[str, ...] = (
     "tessella.operators.outlines",
     "tessella.operators.dissolve",
     "tessella.operators.fill",
+    "tessella.operators.identify",
+    "tessella.operators.partition",
     "tessella.sources.clustered",
     "tessella.sources.region",
     "tessella.sources.arrays",
+    "tessella.sources.dataset",
     "tessella.functions.arcs",
     "tessella.plans.planner",
     "tessella.plans.chain",

@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds, in order."""
+    place, system = _place(spark, path)
+    return sorted(s.getPath().toString() for s in system.listStatus(place))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place, system = _place(spark, path)
     system.delete(place, True)
