@@ -273,6 +273,11 @@ def clip_parcels(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (polygonize_dem, buffer_tracks, simplify_parcels, clip_parcels)}
 ORACLE_SQL = {
+    "polygonize_dem": f"""with recursive {fx.DEM_SQL}, c as (select col, row_, row_*64+col id, cast(floor(z/2) as bigint) dn from dem),
+     e as (select a.id, b.id other, a.dn from c a join c b on a.dn=b.dn and abs(a.col-b.col)+abs(a.row_-b.row_)=1),
+     reach as (select id, id other from c union select r.id, e.other from reach r join e on e.id=r.other), g as (select id, min(other) region from reach group by 1),
+     s as (select dn, count(*) n from e group by 1)
+     select dn, count(distinct region) n_regions, cast(count(*) as bigint) n_cells, cast(4*count(*)-coalesce(max(n),0) as bigint) n_edges from c join g using (id) left join s using (dn) group by 1""",
     "buffer_tracks": f"with {fx.TRACKS_SQL} select fid, 2*count(*)-1 n_pieces, round(min(y)-0.05e0,6) miny, round(max(y)+0.05e0,6) maxy from tracks group by 1",
     "simplify_parcels": f"with {fx.VERTICES_SQL} select fid, ring, count(*) n from parcel_vertices group by 1,2",
     "clip_parcels": f"""with {fx.PARCELS_SQL}, c as (select fid, greatest(-60e0,x0) a, least(60e0,x0+w) b, greatest(-30e0,y0) c, least(30e0,y0+h) e from parcels)

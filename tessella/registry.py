@@ -17,6 +17,7 @@ MODULES: tuple[str, ...] = (
     "tessella.operators.fill",
     "tessella.operators.identify",
     "tessella.operators.partition",
+    "tessella.operators.views",
     "tessella.sources.clustered",
     "tessella.sources.region",
     "tessella.sources.arrays",
