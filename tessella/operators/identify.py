@@ -46,16 +46,17 @@ def _described(attributes: DataFrame) -> DataFrame:
 def identify(clicks: DataFrame, layer: Layer, level: int) -> DataFrame:
     """The nearest feature within reach of each click, ties to the smallest fid: q, layer, fid, distance, attributes."""
     key = [c for c in ("fid", "part", "ring") if c in layer.vertices.columns]
-    boxes = layer.vertices.groupBy("fid").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
-    near = box_join(clicks, boxes, level).select("q", "qx", "qy", "tol", F.col("r_fid").alias("fid"))
-    own = layer.vertices.join(near.select("fid").distinct(), "fid", "left_semi")
+    part = [c for c in key if c != "ring"]  # parts of a feature may lie far apart, so each has a box of its own
+    boxes = layer.vertices.groupBy(*part).agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    near = box_join(clicks, boxes, level).select("q", "qx", "qy", "tol", *(F.col(f"r_{c}").alias(c) for c in part))
+    own = layer.vertices.join(near.select(*part).distinct(), part, "left_semi")
     if layer.kind == geom.POINT:
-        hit = near.join(own, "fid").groupBy("q", "tol", "fid").agg(F.min(F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).alias("d"))
+        hit = near.join(own, part).groupBy("q", "tol", *part).agg(F.min(F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).alias("d"))
     else:
         ends = [F.col(c) for c in ("qx", "qy", "x1", "y1", "x2", "y2")]
         odd = F.sum(geom.crosses_ray(*ends).cast("int")) % 2 == 1
         inside = odd if layer.kind == geom.FACE else F.lit(False)
-        hit = near.join(geom.segments(own, key), "fid").groupBy("q", "tol", "fid").agg(F.min(geom.segment_distance(*ends)).alias("d"), inside.alias("inside"))
+        hit = near.join(geom.segments(own, key), part).groupBy("q", "tol", *part).agg(F.min(geom.segment_distance(*ends)).alias("d"), inside.alias("inside"))
         hit = hit.withColumn("d", F.when(F.col("inside"), 0.0).otherwise(F.col("d")))
     best = hit.where("d <= tol").groupBy("q").agg(F.min(F.struct("d", "fid")).alias("b")).select("q", F.lit(layer.name).alias("layer"), F.col("b.fid").alias("fid"), F.col("b.d").alias("distance"))
     return best.join(_described(layer.attributes), "fid").select("q", "layer", "fid", "distance", "attributes")
