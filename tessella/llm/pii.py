@@ -3,8 +3,14 @@
 E-mail addresses, phone numbers, IP addresses (both versions), payment-card numbers, bank accounts (IBAN with right check digits)
 and persons named after a title are found by patterns and replaced. A surrogate is a keyed digest of the entity's normal form spelled in the entity's own format: digits
 become digits and letters letters of the same case and script, separators stay; octets of an address stay below 256, card
-numbers keep a valid check digit if they had one, accounts their country and valid check digits, and persons get a name of the
-gender that the title tells in the script of the name (Latin, Greek or Cyrillic; other scripts get Latin names).
+numbers keep a valid check digit if they had one, accounts their country and valid check digits.
+
+A person is found by a title, academic ones included, with initials, particles, hyphens, apostrophes and capitals. The last word
+is the family name, a word before it the given name, and each is an entity of its own kind: so ``Mr. John Smith``, ``Mr. Smith`` and
+``SMITH`` share the surrogate of the family name. Every other mention of a found name in the same document, a whole capitalised word,
+is replaced too, titled or not, before or after. Given names follow the title's gender; after a title without gender that of the same
+name elsewhere, else they get a name of either gender. Surrogates are in the script of the name (Latin, Greek or Cyrillic, there with the family name's
+feminine form; other scripts get Latin names) and in capitals where the name is. Initials and particles stay.
 
 Phone numbers are found in these forms: ``+`` or ``00`` and a country code with groups of 2 to 4 digits, or one digit and four
 pairs; North American numbers of 3, 3 and 4 digits; French ones of five pairs; Spanish ones of nine digits in groups; German and
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, table
 from .spans import let, places, replaced, scanned
 
-KINDS = ["email", "phone", "ip", "card", "man", "woman", "national", "ip6", "account"]
+KINDS = ["email", "phone", "ip", "card", "man", "woman", "national", "ip6", "account", "either", "family", "feminine"]
 # A run of signs before the address belongs to the match and is cut off afterwards.
 EMAIL = r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _SEP = r"[ .\u00A0\u202F/-]"
@@ -57,28 +63,45 @@ IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2
 CARD = rf"(?<![0-9])(?!{_ABROAD})" + r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 IP6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])"
 ACCOUNT = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-_MR, _MRS = "Mr|Herrn?|Monsieur|Señor|Sr|господин|г-н|κύριος|κ", "Mrs|Ms|Miss|Frau|Madame|Señora|Sra|госпожа|г-жа|κυρία|κα"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-MAN = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?:{_MR})\.? ){_NAME}(?: {_NAME})?"
-WOMAN = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?:{_MRS})\.? ){_NAME}(?: {_NAME})?"
+# Titles of men, of women and of either.
+_MR, _MRS = "Mr|Herrn?|Monsieur|Señor|Sr|господин|г-н|κύριος|κ", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|госпожа|г-жа|κυρία|κα"
+_DR = "Dr|Dra|Prof|Professor|Professorin|Doctor|Docteur|Доктор|Профессор"
+_PARTICLES = "(?:(?:von|van|zu|zum|zur|vom|de|der|den|del|della|da|di|du|des|la|le|ter|ten|dos|das) ){0,3}"
+# A capitalised word, with more of them after hyphens and apostrophes; possessive, so that none is given back.
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’]\p{Lu}))(?:['’-]\p{Lu}[\p{L}\p{M}]*+)*+"
+NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]|\p{{Lu}}['’-])(?!(?:{_MR}|{_MRS}|{_DR})(?![\p{{L}}\p{{M}}])){_WORD}"
+
+
+def _titled(titles: str) -> str:
+    """A name after a title, more titles and initials."""
+    # spelled out, as what stands before may not repeat a group of several lengths
+    more, initials = rf"(?:(?:{_DR})\.? )?" * 2, r"(?:\p{Lu}\. ?)?" * 3
+    before = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?:{titles})\.? {more}{initials})"
+    return rf"{before}(?:{NAME} )?{_PARTICLES}{NAME}"
+
+
+MAN, WOMAN, EITHER = _titled(_MR), _titled(_MRS), _titled(_DR)
 GATE = (
-    rf"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[^0-9A-Za-z]{{0,4}}[0-9]){{7}}|(?<![\p{{L}}\p{{N}}_])(?:{_MR}|{_MRS})\.? \p{{Lu}}"
+    rf"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[^0-9A-Za-z]{{0,4}}[0-9]){{7}}|(?<![\p{{L}}\p{{N}}_])(?:{_MR}|{_MRS}|{_DR})\.? (?:{_PARTICLES}\p{{Lu}}|(?:{_DR})[. ])"
     r"|:[0-9A-Fa-f]{0,4}:|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
 )
-# Names by script: men, women, families of men, families of women.
-_MEN = ["James", "Robert", "Lukas", "Felix", "Pierre", "Julien", "Diego", "Carlos", "Oscar", "Victor", "Hugo", "Martin", "Simon", "Leon", "Pablo", "Adam"]
-_WOMEN = ["Mary", "Anna", "Julia", "Clara", "Marie", "Camille", "Lucia", "Elena", "Sofia", "Laura", "Alice", "Emma", "Nora", "Ines", "Paula", "Eva"]
-_FAMILY = ["Archer", "Baker", "Castro", "Dubois", "Ebert", "Fischer", "Garnier", "Hansen", "Ibarra", "Jensen", "Keller", "Lambert", "Moreno", "Navarro", "Olsen", "Perrin"]
+# Names by script: men, women, either, families, families of women. Latin families are a stem and an ending.
+_MEN = "James Robert Lukas Felix Pierre Julien Diego Carlos Oscar Victor Hugo Martin Simon Leon Pablo Adam"
+_WOMEN = "Mary Anna Julia Clara Marie Camille Lucia Elena Sofia Laura Alice Emma Nora Ines Paula Eva"
+_EITHER = "Robin Alexis Sasha Jules Dominique Charlie Noa Kim Mika Luca Jamie Morgan Sidney Toni Andrea Chris"
+_STEMS = "Arn Ber Cal Dor Ell Fal Gar Hol Kel Lam Mar Nor Per Ros Tal Wal"
+_ENDINGS = "berg den ell er feld ford in ister mann mond ner ot sen son stett ton"
 _CYRILLIC = (
-    ["Алексей", "Борис", "Виктор", "Григорий", "Дмитрий", "Иван", "Максим", "Олег"], ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Ольга"],
-    ["Орлов", "Соколов", "Лебедев", "Морозов", "Волков", "Зайцев", "Павлов", "Титов"], ["Орлова", "Соколова", "Лебедева", "Морозова", "Волкова", "Зайцева", "Павлова", "Титова"],
+    "Алексей Борис Виктор Григорий Дмитрий Иван Максим Олег", "Анна Вера Галина Дарья Елена Ирина Мария Ольга", "Саша Женя Валя Слава",
+    "Орлов Соколов Лебедев Морозов Волков Зайцев Павлов Титов", "Орлова Соколова Лебедева Морозова Волкова Зайцева Павлова Титова",
 )
 _GREEK = (
-    ["Αλέξανδρος", "Γιώργος", "Δημήτρης", "Κώστας", "Μιχάλης", "Νίκος", "Πέτρος", "Σπύρος"], ["Άννα", "Βασιλική", "Δήμητρα", "Ελένη", "Ειρήνη", "Κατερίνα", "Μαρία", "Σοφία"],
-    ["Γεωργίου", "Δημητρίου", "Ιωάννου", "Κωνσταντίνου", "Νικολάου", "Παναγιώτου", "Χρήστου", "Αθανασίου"], ["Γεωργίου", "Δημητρίου", "Ιωάννου", "Κωνσταντίνου", "Νικολάου", "Παναγιώτου", "Χρήστου", "Αθανασίου"],
+    "Αλέξανδρος Γιώργος Δημήτρης Κώστας Μιχάλης Νίκος Πέτρος Σπύρος", "Άννα Βασιλική Δήμητρα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία", "Άρτεμις Άγγελος Φώτης Ζωή",
+    *["Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Νικολάου Παναγιώτου Χρήστου Αθανασίου"] * 2,
 )
 # Alphabets by script; a letter becomes a letter of the alphabet that holds it, any other letter stays a letter of its case.
 _SCRIPTS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
+DOUBLED = 2  # attempts from which names are double
 RELAXED = 4
 COUNTED = 12
 _HEX = "0123456789abcdef"
@@ -91,7 +114,7 @@ def _digits(x: Column) -> Column:
 def normal(kind: Column, raw: Column) -> Column:
     """What two mentions of one entity have in common."""
     return (
-        F.when((kind == 0) | (kind == 7), F.lower(raw)).when((kind == 1) | (kind == 3) | (kind == 6), _digits(raw))
+        F.when(kind.isin(0, 4, 5, 7, 9, 10, 11), F.lower(raw)).when((kind == 1) | (kind == 3) | (kind == 6), _digits(raw))
         .when(kind == 8, F.replace(raw, F.lit(" "), F.lit(""))).otherwise(raw)
     )
 
@@ -170,17 +193,24 @@ def _in_format(raw: Column, drawn: Column, kept: str = "[0-9]") -> Column:
     return let(drawn, put)
 
 
-def _person(raw: Column, hexes: Column, attempt: Column, woman: bool) -> Column:
-    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), _nth(hexes, F.lit(i)) % len(names) + 1)
+def _name(kind: Column, raw: Column, hexes: Column, attempt: Column) -> Column:
+    """A given name of the kind's gender or a family name; a double one, then one with a drawn part, in later attempts."""
 
-    def of(men: list[str], women: list[str], families: list[str], hers: list[str], drawn: str) -> Column:
-        given, family = (women, hers) if woman else (men, families)
-        first = pick(given, 0)
-        more = F.concat(pick(family, 1), F.lit("-"), pick(family, 2), F.lit("-"), _spelled(F.lit(drawn), hexes))
-        long = F.when(attempt >= RELAXED, more).otherwise(pick(family, 1))
-        return F.when(raw.contains(" "), F.concat_ws(" ", first, long)).otherwise(F.when(attempt >= RELAXED, F.concat_ws("-", first, long)).otherwise(first))
+    def pick(names: str, i: int) -> Column:
+        return let(F.split(F.lit(names), " "), lambda x: F.element_at(x, _nth(hexes, F.lit(i)) % len(names.split()) + 1))
 
-    return F.when(raw.rlike(r"^\p{IsCyrillic}"), of(*_CYRILLIC, "Аааааа")).when(raw.rlike(r"^\p{IsGreek}"), of(*_GREEK, "Αααααα")).otherwise(of(_MEN, _WOMEN, _FAMILY, _FAMILY, "Aaaaaa"))
+    def of(lists: tuple, drawn: str) -> Column:
+        def one(i: int) -> Column:
+            out = F.when(kind == 4, pick(lists[0], i)).when(kind == 5, pick(lists[1], i)).when(kind == 9, pick(lists[2], i))
+            if len(lists) == 3:
+                return out.otherwise(F.concat(pick(_STEMS, i), pick(_ENDINGS, i + 1)))
+            return out.when(kind == 11, pick(lists[4], i)).otherwise(pick(lists[3], i))
+
+        return F.concat_ws("-", one(0), F.when(attempt >= DOUBLED, one(2)), F.when(attempt >= RELAXED, _spelled(F.lit(drawn), hexes)))
+
+    latin = of((_MEN, _WOMEN, _EITHER), "Aaaaaa")
+    made = F.when(raw.rlike(r"(?i)^\p{IsCyrillic}"), of(_CYRILLIC, "Аааааа")).when(raw.rlike(r"(?i)^\p{IsGreek}"), of(_GREEK, "Αααααα")).otherwise(latin)
+    return let(made, lambda x: F.when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(x)).otherwise(x))
 
 
 def _groups(raw: Column, hexes: Column, attempt: Column) -> Column:
@@ -228,18 +258,22 @@ def _from_digest(h: Column, kind: Column, raw: Column, norm: Column, attempt: Co
         F.when(kind == 0, email).when(kind == 1, _in_format(raw, _spelled(norm, h, country))).when(kind == 2, _octets(raw, h, attempt))
         .when(kind == 6, _in_format(raw, _spelled(norm, h, F.length(F.regexp_extract(norm, "^(0*)", 1)))))
         .when(kind == 3, _in_format(raw, _card(norm, h))).when(kind == 7, _groups(raw, h, attempt)).when(kind == 8, _in_format(raw, _iban(norm, h), "[^ ]"))
-        .when(kind == 4, _person(raw, h, attempt, False)).otherwise(_person(raw, h, attempt, True))
+        .otherwise(_name(kind, raw, h, attempt))
     )
 
 
-def attempts(entities: DataFrame, key: str) -> DataFrame:
-    """kind, norm and the attempt whose surrogate is like no other's and like no entity; ``entities`` has kind and norm."""
+def attempts(entities: DataFrame, new: Column) -> DataFrame:
+    """kind, norm and the attempt whose surrogate is like no other's and like no entity; ``entities`` has kind and norm.
+
+    ``new`` is :func:`surrogate` over the columns kind, raw, norm and attempt, built once, as building it takes seconds.
+    """
+    new = let(new, lambda x: normal(F.col("kind"), x))
     known = materialise(entities.select("kind", "norm").distinct(), "pii-entities")
     open_, settled, taken, attempt = known, [], [known.select("kind", F.col("norm").alias("made"))], 0
     while True:
         number = F.lit(attempt).cast("long") if attempt < COUNTED else F.monotonically_increasing_id() * 64 + attempt
-        made = open_.select("kind", "norm", number.alias("attempt"))
-        made = materialise(made.withColumn("made", let(surrogate(key, F.col("kind"), F.col("norm"), F.col("norm"), F.col("attempt")), lambda x: normal(F.col("kind"), x))), "pii-made")
+        made = open_.select("kind", "norm", F.col("norm").alias("raw"), number.alias("attempt"))
+        made = materialise(made.select("kind", "norm", "attempt", new.alias("made")), "pii-made")
         used = taken[0]
         for more in taken[1:]:
             used = used.union(more)
@@ -258,24 +292,53 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def _persons(gated: DataFrame) -> DataFrame:
+    """row, s (start, kind, end) and raw of every mention of a name that stands after a title somewhere in the same text.
+
+    Titled mentions only tell the names of a text; its capitalised words are joined with them by text and name, so a
+    text's mentions agree, and no task holds more than a text's words.
+    """
+    titled = F.concat(*(places(F.col("text"), p, k, raw=True) for k, p in ((4, MAN), (5, WOMAN), (9, EITHER))))
+    titled = materialise(gated.select(F.col("__row").alias("row"), F.explode(titled).alias("t")).select("row", F.col("t.start").alias("start"), F.col("t.kind").alias("title"), F.col("t.raw").alias("raw")), "pii-titled")
+    # of titles before the same name the one that tells a gender counts
+    one = titled.groupBy("row", "start").agg(F.min_by("raw", "title").alias("raw"), F.min("title").alias("title"))
+    family = F.regexp_extract("raw", "([^ ]+)$", 1)
+    feminine = family.rlike(r"^\p{IsCyrillic}") & ((F.col("title") == 5) | ((F.col("title") == 9) & family.rlike("(?i)[ая]$")))
+    given = F.regexp_extract("raw", rf"^({NAME}) ", 1)
+    words = F.array(F.struct(F.lower(family).alias("norm"), F.when(feminine, 11).otherwise(10).alias("kind")), F.struct(F.lower(given).alias("norm"), F.col("title").alias("kind")))
+    names = one.select("row", F.explode(words).alias("w")).where("w.norm <> ''").select("row", "w.norm", "w.kind")
+    # a name of either gender has that which it has elsewhere; a word that is both in a text is a family name there
+    names = materialise(names.distinct(), "pii-names")
+    known = names.where("kind in (4, 5)").groupBy("norm").agg(F.min("kind").alias("known"))
+    own = names.groupBy("row", "norm").agg(F.max(F.when(F.col("kind") >= 10, F.col("kind"))).alias("family"), F.min("kind").alias("kind"))
+    gender = F.when(F.col("kind") == 9, F.coalesce("known", "kind")).otherwise(F.col("kind"))
+    own = own.join(known, "norm", "left").select("row", "norm", F.coalesce("family", gender).alias("kind"))
+    texts = gated.join(names.select(F.col("row").alias("__row")).distinct(), "__row", "left_semi")
+    tokens = texts.select(F.col("__row").alias("row"), F.explode(places(F.col("text"), NAME, 0, raw=True)).alias("t")).withColumn("norm", F.lower("t.raw"))
+    found = tokens.join(own, ["row", "norm"])
+    return found.select("row", F.struct(F.col("t.start").alias("start"), F.col("kind"), F.col("t.end").alias("end")).alias("s"), "kind", F.col("t.raw").alias("raw"))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """All documents with surrogates in their texts and n_email, n_phone, n_ip, n_card, n_person, n_account; n_chars is counted anew."""
+    """All documents with surrogates in their texts and n_email, n_phone, n_ip, n_card, n_person (names, given and family each), n_account; n_chars is counted anew."""
     counts = ["n_email", "n_phone", "n_ip", "n_card", "n_person", "n_account"]
     names = [c for c in docs.columns if c not in counts]
     docs = docs.select(*names)
     text = F.coalesce(F.col("text"), F.lit(""))
     gated = materialise(docs.where(text.rlike(GATE)).withColumn("__row", F.monotonically_increasing_id()), "pii-gated")
-    patterns = [EMAIL, PHONE, IP, CARD, MAN, WOMAN, NATIONAL, IP6, ACCOUNT]
-    found = F.concat(*(places(F.col("text"), p, k, raw=True) for k, p in enumerate(patterns)))
+    patterns = {0: EMAIL, 1: PHONE, 2: IP, 3: CARD, 6: NATIONAL, 7: IP6, 8: ACCOUNT}
+    found = F.concat(*(places(F.col("text"), p, k, raw=True) for k, p in patterns.items()))
     spans = gated.select(F.col("__row").alias("row"), F.explode(found).alias("s"))
     lead = F.when(F.col("s.kind") == 0, F.length(F.regexp_extract("s.raw", "^[._%+-]+", 0))).otherwise(0)
     own = F.struct((F.col("s.start") + lead).alias("start"), "s.kind", "s.end")
     spans = spans.select("row", own.alias("s"), F.col("s.kind").alias("kind"), F.substring("s.raw", lead + 1, F.length("s.raw")).alias("raw"))
     right = _remainder(normal(F.col("kind"), F.col("raw"))) == 1
-    spans = materialise(spans.where(F.when(F.col("kind") == 8, right).otherwise(True)), "pii-spans")
+    spans = spans.where(F.when(F.col("kind") == 8, right).otherwise(True))
+    spans = materialise(spans.union(_persons(gated)), "pii-spans")
     ents = spans.withColumn("norm", normal(F.col("kind"), F.col("raw")))
-    tries = attempts(ents, key)
-    new = ents.join(tries, ["kind", "norm"]).select("row", F.struct("s.start", "s.kind", "s.end", surrogate(key, F.col("kind"), F.col("raw"), F.col("norm"), F.col("attempt")).alias("new")).alias("s"))
+    drawn = surrogate(key, F.col("kind"), F.col("raw"), F.col("norm"), F.col("attempt"))
+    tries = attempts(ents, drawn)
+    new = ents.join(tries, ["kind", "norm"]).select("row", F.struct("s.start", "s.kind", "s.end", drawn.alias("new")).alias("s"))
     found = "array<struct<start:int,kind:int,end:int,new:string>>"
     none = F.array().cast(found)
     # of overlapping spans only the first is replaced, and only it counts
@@ -284,7 +347,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     by_row = materialise(new.groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_list("s")).alias("s")).select("__row", own.alias("__found")), "pii-by-row")
     some = gated.join(by_row, "__row", "left").withColumn("__found", F.coalesce("__found", none))
     count = lambda *k: F.size(F.filter("__found", lambda s: s["kind"].isin(*k))).cast("long")
-    tail = [count(*k).alias(c) for c, k in zip(counts, [(0,), (1, 6), (2, 7), (3,), (4, 5), (8,)], strict=True)]
+    tail = [count(*k).alias(c) for c, k in zip(counts, [(0,), (1, 6), (2, 7), (3,), (4, 5, 9, 10, 11), (8,)], strict=True)]
     some = some.select(*names, "__found", *tail).withColumn("text", replaced(F.col("text"), F.col("__found"), lambda s: s["new"], found))
     if "n_chars" in names:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
