@@ -70,17 +70,8 @@ _PARTICLES = "(?:(?:von|van|zu|zum|zur|vom|de|der|den|del|della|da|di|du|des|la|
 # A capitalised word, with more of them after hyphens and apostrophes; possessive, so that none is given back.
 _WORD = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’]\p{Lu}))(?:['’-]\p{Lu}[\p{L}\p{M}]*+)*+"
 NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]|\p{{Lu}}['’-])(?!(?:{_MR}|{_MRS}|{_DR})(?![\p{{L}}\p{{M}}])){_WORD}"
-
-
-def _titled(titles: str) -> str:
-    """A name after a title, more titles and initials."""
-    # spelled out, as what stands before may not repeat a group of several lengths
-    more, initials = rf"(?:(?:{_DR})\.? )?" * 2, r"(?:\p{Lu}\. ?)?" * 3
-    before = rf"(?<=(?<![\p{{L}}\p{{N}}_])(?:{titles})\.? {more}{initials})"
-    return rf"{before}(?:{NAME} )?{_PARTICLES}{NAME}"
-
-
-MAN, WOMAN, EITHER = _titled(_MR), _titled(_MRS), _titled(_DR)
+# A title, more titles and initials before a name.
+TITLED = rf"(?<![\p{{L}}\p{{N}}_])(?:{_MR}|{_MRS}|{_DR})\.? (?:(?:{_DR})\.? ){{0,2}}(?:\p{{Lu}}\. ?){{0,3}}(?:{NAME} )?{_PARTICLES}{NAME}"
 GATE = (
     rf"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:[^0-9A-Za-z]{{0,4}}[0-9]){{7}}|(?<![\p{{L}}\p{{N}}_])(?:{_MR}|{_MRS}|{_DR})\.? (?:{_PARTICLES}\p{{Lu}}|(?:{_DR})[. ])"
     r"|:[0-9A-Fa-f]{0,4}:|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
@@ -196,20 +187,24 @@ def _in_format(raw: Column, drawn: Column, kept: str = "[0-9]") -> Column:
 def _name(kind: Column, raw: Column, hexes: Column, attempt: Column) -> Column:
     """A given name of the kind's gender or a family name; a double one, then one with a drawn part, in later attempts."""
 
-    def pick(names: str, i: int) -> Column:
-        return let(F.split(F.lit(names), " "), lambda x: F.element_at(x, _nth(hexes, F.lit(i)) % len(names.split()) + 1))
+    def by_script(latin: Column, cyrillic: Column, greek: Column) -> Column:
+        return F.when(raw.rlike(r"(?i)^\p{IsCyrillic}"), cyrillic).when(raw.rlike(r"(?i)^\p{IsGreek}"), greek).otherwise(latin)
+
+    def by_kind(man: str, woman: str, either: str, family: str, hers: str) -> Column:
+        return F.when(kind == 4, man).when(kind == 5, woman).when(kind == 9, either).when(kind == 11, hers).otherwise(F.lit(family))
+
+    def pick(names: Column, i: int) -> Column:
+        return F.element_at(names, _nth(hexes, F.lit(i)) % F.size(names) + 1)
 
-    def of(lists: tuple, drawn: str) -> Column:
-        def one(i: int) -> Column:
-            out = F.when(kind == 4, pick(lists[0], i)).when(kind == 5, pick(lists[1], i)).when(kind == 9, pick(lists[2], i))
-            if len(lists) == 3:
-                return out.otherwise(F.concat(pick(_STEMS, i), pick(_ENDINGS, i + 1)))
-            return out.when(kind == 11, pick(lists[4], i)).otherwise(pick(lists[3], i))
+    starts = by_script(by_kind(_MEN, _WOMEN, _EITHER, _STEMS, _STEMS), by_kind(*_CYRILLIC), by_kind(*_GREEK))
+    ends = F.when((kind >= 10) & ~raw.rlike(r"(?i)^[\p{IsCyrillic}\p{IsGreek}]"), _ENDINGS).otherwise("")
+    tail = _spelled(by_script(F.lit("Aaaaaa"), F.lit("Аааааа"), F.lit("Αααααα")), hexes)
 
-        return F.concat_ws("-", one(0), F.when(attempt >= DOUBLED, one(2)), F.when(attempt >= RELAXED, _spelled(F.lit(drawn), hexes)))
+    def drawn(x: Column) -> Column:
+        one = lambda i: F.concat(pick(x["starts"], i), pick(x["ends"], i + 1))
+        return F.concat_ws("-", one(0), F.when(attempt >= DOUBLED, one(2)), F.when(attempt >= RELAXED, tail))
 
-    latin = of((_MEN, _WOMEN, _EITHER), "Aaaaaa")
-    made = F.when(raw.rlike(r"(?i)^\p{IsCyrillic}"), of(_CYRILLIC, "Аааааа")).when(raw.rlike(r"(?i)^\p{IsGreek}"), of(_GREEK, "Αααααα")).otherwise(latin)
+    made = let(F.struct(F.split(starts, " ").alias("starts"), F.split(ends, " ").alias("ends")), drawn)
     return let(made, lambda x: F.when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(x)).otherwise(x))
 
 
@@ -298,15 +293,15 @@ def _persons(gated: DataFrame) -> DataFrame:
     Titled mentions only tell the names of a text; its capitalised words are joined with them by text and name, so a
     text's mentions agree, and no task holds more than a text's words.
     """
-    titled = F.concat(*(places(F.col("text"), p, k, raw=True) for k, p in ((4, MAN), (5, WOMAN), (9, EITHER))))
-    titled = materialise(gated.select(F.col("__row").alias("row"), F.explode(titled).alias("t")).select("row", F.col("t.start").alias("start"), F.col("t.kind").alias("title"), F.col("t.raw").alias("raw")), "pii-titled")
-    # of titles before the same name the one that tells a gender counts
-    one = titled.groupBy("row", "start").agg(F.min_by("raw", "title").alias("raw"), F.min("title").alias("title"))
-    family = F.regexp_extract("raw", "([^ ]+)$", 1)
+    titled = gated.select(F.col("__row").alias("row"), F.explode(places(F.col("text"), TITLED, 0, raw=True)).alias("t")).select("row", F.col("t.raw").alias("raw"))
+    first = F.regexp_extract("raw", r"^([\p{L}-]+)", 1)
+    title = F.when(first.rlike(f"^(?:{_MR})$"), 4).when(first.rlike(f"^(?:{_MRS})$"), 5).otherwise(9)
+    titled = titled.withColumn("title", title)
+    family = F.regexp_extract("raw", f"({NAME})$", 1)
     feminine = family.rlike(r"^\p{IsCyrillic}") & ((F.col("title") == 5) | ((F.col("title") == 9) & family.rlike("(?i)[ая]$")))
-    given = F.regexp_extract("raw", rf"^({NAME}) ", 1)
+    given = F.regexp_extract("raw", rf"(?<=[ .])({NAME}) {_PARTICLES}{NAME}$", 1)
     words = F.array(F.struct(F.lower(family).alias("norm"), F.when(feminine, 11).otherwise(10).alias("kind")), F.struct(F.lower(given).alias("norm"), F.col("title").alias("kind")))
-    names = one.select("row", F.explode(words).alias("w")).where("w.norm <> ''").select("row", "w.norm", "w.kind")
+    names = titled.select("row", F.explode(words).alias("w")).where("w.norm <> ''").select("row", "w.norm", "w.kind")
     # a name of either gender has that which it has elsewhere; a word that is both in a text is a family name there
     names = materialise(names.distinct(), "pii-names")
     known = names.where("kind in (4, 5)").groupBy("norm").agg(F.min("kind").alias("known"))
