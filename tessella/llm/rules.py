@@ -1,7 +1,7 @@
 """Line-first quality rules.
 
-Each line of a text is judged alone: it fails as a copy of an earlier line (long ones only), as navigation (by its words, or
-by separators between short entries without a sentence's end, in any language), as boilerplate, as shouting, or for its
+Each line of a text is judged alone: it fails as a copy of an earlier line (long ones only), as navigation (by its words, unless it ends a sentence, or
+by separators between short entries without a sentence's end, in any language), as boilerplate (phrases that are a good share of its words, so prose that mentions one stays), as shouting, or for its
 punctuation and symbols. Words and phrases are those of English, German, French and Spanish pages; others can be given. Failing lines are removed. A document is rejected if it
 fails the base rule over its whole text (too few words, or too many words in repeated three-word windows), or if it
 loses too large a share of its words with the removed lines.
@@ -37,13 +37,14 @@ _NAVIGATION = frozenset(
 _BOILERPLATE = tuple(
     x.encode()
     for x in (
-        "all rights reserved", "lorem ipsum", "javascript", "cookie policy", "terms of use", "privacy policy", "click here", "subscribe to our newsletter", "page not found", "copyright (c)", "©",
+        "all rights reserved", "lorem ipsum", "javascript", "enable javascript", "cookie policy", "terms of use", "privacy policy", "click here", "subscribe to our newsletter", "page not found", "copyright (c)", "©",
         "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "hier klicken", "seite nicht gefunden", "newsletter abonnieren",
         "tous droits réservés", "politique de confidentialité", "politique de cookies", "cliquez ici", "page introuvable", "abonnez-vous",
         "todos los derechos reservados", "política de privacidad", "política de cookies", "haga clic aquí", "página no encontrada", "suscríbase",
     )
 )
 _SEPARATORS = frozenset(x.encode() for x in ("|", "||", ">", ">>", "»", "›", "·", "•", "::", "/"))
+_STOPS = (b".", b"!", b"?")
 _CLOSING = tuple(x.encode() for x in (".", "!", "?", "…", ":", ";", "\"", "”", "»", ")"))
 
 
@@ -60,6 +61,7 @@ class LineRules:
     max_upper_share: float = 0.80  # of ASCII letters
     copy_min_words: int = 5
     max_lost_share: float = 0.50  # of a document's words, in removed lines
+    min_phrase_share: float = 0.20  # of a line's words, in phrases of boilerplate
     min_separators: int = 2  # words that only separate, in a line of navigation
     max_entry_words: float = 3.0  # words between them, on average
     navigation: frozenset[bytes] = _NAVIGATION
@@ -106,9 +108,10 @@ def line_fault(line: bytes, words: list[bytes], rules: LineRules) -> str | None:
     between = sum(w in _SEPARATORS for w in words)
     if between >= rules.min_separators and len(words) - between <= rules.max_entry_words * (between + 1) and not words[-1].endswith(_CLOSING):
         return "navigation"
-    if len(words) <= 12 and all(w.strip(b"|>-/.,:;") in rules.navigation or not w.strip(b"|>-/.,:;") for w in low.split()):
+    if len(words) <= 12 and not words[-1].endswith(_STOPS) and all(w.strip(b"|>-/.,:;") in rules.navigation or not w.strip(b"|>-/.,:;") for w in low.split()):
         return "navigation"
-    if len(words) <= 30 and any(x in low for x in rules.boilerplate):
+    phrases = [x for x in rules.boilerplate if x in low] if len(words) <= 30 else []
+    if phrases and sum(low.count(x) * len(x.split()) for x in phrases) >= rules.min_phrase_share * len(words):
         return "boilerplate"
     if len(words) < rules.line_min_words:
         return None

@@ -121,8 +121,8 @@ def plain_kept(t):
         seen.add(line)
         cuts = sum(w in ("|", "||", ">", ">>", "»", "›", "·", "•", "::", "/") for w in words)
         bad |= cuts >= 2 and n - cuts <= 3 * (cuts + 1) and words[-1][-1] not in ".!?…:;\"”»)"
-        bad |= n <= 12 and all(w.strip("|>-/.,:;") in {*navigation, ""} for w in split(low))
-        bad |= n <= 30 and any(x in low for x in boilerplate)
+        bad |= n <= 12 and split(low)[-1][-1] not in ".!?" and all(w.strip("|>-/.,:;") in {*navigation, ""} for w in split(low))
+        bad |= n <= 30 and any(x in low for x in boilerplate) and 5 * sum(len(x.split()) * low.count(x) for x in boilerplate) >= n
         if n >= 5:
             size = sum(len(w.encode()) for w in words)
             bad |= sum(c in "#*$%&|<>" for c in line) > 0.08 * size or sum(c in ascii_marks for c in line) > 0.3 * size
@@ -133,6 +133,16 @@ def plain_kept(t):
     return not plain_rules(t)[5] and lost <= 0.5 * len(split(t))
 
 
+def test_a_phrase_in_prose_is_no_boilerplate():
+    prose = [
+        "The course starts with JavaScript because most of its students have already written some of it", "Our editors asked whether the new law makes a privacy policy longer than it was before",
+        "He went in to.", "In. to.", "She had read nothing about the terms of use that the two towns once agreed on",
+    ]
+    waste = ["All rights reserved.", "© 2024 Example Corp.", "Please enable JavaScript to view this page.", "Privacy policy | Terms of use", "Read our privacy policy and click here to subscribe", "Home About Contact"]
+    fault = lambda x: rules.line_fault(x.encode(), x.encode().split(), rules.LineRules())
+    assert [fault(x) for x in prose] == [None] * len(prose) and [fault(x) for x in waste] == ["boilerplate"] * 5 + ["navigation"]
+
+
 def test_kept_is_the_plain_verdict(spark, docs):
     menu = "\n".join(["Start | Über uns | Kontakt", "Home > Shop > Shoes", "a · b · c"] * 3)
     body = "\n".join(" ".join(f"w{k}{j}" for j in range(12)) for k in range(8))
