@@ -55,6 +55,20 @@ def test_clip_cases():
     assert len(kernels.clip_polygon(u, -1, 5, 11, 9)) == 2  # two legs, no bridge between them
 
 
+def test_clip_keeps_what_barely_reaches_in():
+    # Sides that should end at the border and end beside it by rounding, on either side.
+    sides = [(k / 10 - 150, s / 10) for s in range(1, 51) for k in [900 - s]]
+    assert {(x0 + w > -60) - (x0 + w < -60) for x0, w in sides} == {-1, 0, 1}
+    for x0, w in sides:
+        x1 = x0 + w
+        got = kernels.clip_polygon([(x0, 14.4), (x1, 14.4), (x1, 15.4), (x0, 15.4)], -60, -30, 60, 30)
+        assert bool(got) == (x1 > -60), (x0, w)
+        turned = kernels.clip_polygon([(14.4, -x0), (15.4, -x0), (15.4, -x1), (14.4, -x1)], -30, -60, 30, 60)
+        assert bool(turned) == (x1 > -60), (x0, w)
+        for ring in got:
+            assert {p[0] for p in ring} == {-60, x1} and {p[1] for p in ring} == {14.4, 15.4}
+
+
 def test_simplify():
     line = np.array([(0, 0), (1, 0.01), (2, 0), (3, 5), (4, 0)], float)
     w = kernels.simplify_weights(line)
