@@ -18,6 +18,7 @@ from tessella import fixtures as fx
 from tessella.shared import exists, scratch
 
 CHUNK_FEATURES = 20_000
+MOST_WRITES = 16
 
 
 @dataclass
@@ -88,15 +89,28 @@ def fid_chunks(layer: DataFrame, features: int = CHUNK_FEATURES) -> list[Callabl
     return [lambda a=a: layer.where((F.col("fid") >= a) & (F.col("fid") < a + features)) for a in starts]
 
 
+def packed_chunks(layer: DataFrame, features: int, most: int = MOST_WRITES) -> list[Callable[[], DataFrame]]:
+    """A layer by ranges of its fids, with ``part``, the number of each row's chunk of ``features`` fids.
+
+    A range holds a whole number of chunks, so many that there are at most ``most`` ranges: a load of any size takes as many scans and writes at most.
+    """
+    low, high = layer.agg(F.min("fid"), F.max("fid")).first()
+    if low is None:
+        return []
+    wide = features * max(1, -(-(high - low + 1) // (features * most)))
+    rows = layer.withColumn("part", F.floor((F.col("fid") - low) / features).cast("int"))
+    return [lambda a=a: rows.where((F.col("fid") >= a) & (F.col("fid") < a + wide)) for a in range(low, high + 1, wide)]
+
+
 def budgeted_load(spark: SparkSession, d: str) -> DataFrame:
-    """The sites loaded in chunks of 2,000 fids in two sittings; the first is cancelled when its second chunk begins."""
+    """The sites loaded in chunks of 2,000 fids in two sittings, several chunks a write; the first sitting is cancelled when its second write begins."""
     path = f"{scratch(spark, 'load')}/sites"
-    chunks = fid_chunks(fx.sites(spark, d), 2000)
+    chunks = packed_chunks(fx.sites(spark, d), 2000)
     stop = Cancel()
     first = [chunks[0], lambda: (stop.asked.set(), chunks[1]())[1], *chunks[2:]] if len(chunks) > 1 else chunks
     run_chunks(spark, first, path, cancel=stop)
     rest = run_chunks(spark, chunks, path)
-    return loaded(spark, path, rest).groupBy("chunk").agg(F.count("*").alias("n"), F.min("fid").alias("first_fid"), F.round(F.sum("amount"), 2).alias("amount"))
+    return loaded(spark, path, rest).groupBy(F.col("part").alias("chunk")).agg(F.count("*").alias("n"), F.min("fid").alias("first_fid"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
 def load_checked(layer: DataFrame, drawn: Column, path: str, again: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:

@@ -99,6 +99,18 @@ def test_cancel_and_errors(spark, tmp_path):
     assert loading.fid_chunks(layer.limit(0)) == []
 
 
+def test_many_chunks_take_few_writes(spark, tmp_path):
+    layer = spark.range(7, 1007).where("id <> 500").select(F.col("id").alias("fid"))
+    for features, most, writes in ((2, 16, 16), (400, 16, 3), (1000, 16, 1), (300, 2, 2)):
+        chunks = loading.packed_chunks(layer, features, most)
+        assert len(chunks) == writes
+        rows = [[(r.fid, r.part) for r in c().collect()] for c in chunks]
+        assert sorted(r for own in rows for r in own) == [(k, (k - 7) // features) for k in range(7, 1007) if k != 500]
+        parts = [{part for _, part in own} for own in rows]
+        assert sum(map(len, parts)) == len(set().union(*parts))  # no chunk is in two writes
+    assert loading.packed_chunks(layer.limit(0), 10) == []
+
+
 def test_layer_is_counted_once_and_read_again_only_if_empty(spark, tmp_path):
     again = []
 
