@@ -123,24 +123,40 @@ def leaves(tool: Tool) -> list[Tool]:
 
 TOOLS = Registry()
 _RINGS = "fid long, part int, piece int, ring int, seq int, x double, y double"
+_ROWS = 20_000  # a frame that a task returns; a single ring's result may be longer
 
 
-def _map_rings(vertices: DataFrame, work: Callable[[list], list[list]]) -> DataFrame:
-    """Each ring or line of a layer in vertex form through ``work``, which returns any number of rings."""
+def _through(work: Callable[[list], list[list]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Frames of rings (fid, part, ring, xs, ys) through ``work``, one row a vertex.
+
+    Results go out as they grow: a task holds a few thousand rows of them, however many rings come in a frame.
+    """
+    names = ["fid", "part", "piece", "ring", "seq", "x", "y"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for r in f.itertuples(index=False):
-                for k, ring in enumerate(work([(p["x"], p["y"]) for p in r.p])):
+                for k, ring in enumerate(work(list(zip(r.xs.tolist(), r.ys.tolist(), strict=True)))):
                     rows += [(r.fid, r.part, k, r.ring, s, float(x), float(y)) for s, (x, y) in enumerate(ring)]
-            yield pd.DataFrame(rows, columns=["fid", "part", "piece", "ring", "seq", "x", "y"])
+                    if len(rows) >= _ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    return run
 
+
+def _map_rings(vertices: DataFrame, work: Callable[[list], list[list]]) -> DataFrame:
+    """Each ring or line of a layer in vertex form through ``work``, which returns any number of rings."""
     v = vertices
     for c in ("part", "ring"):
         if c not in v.columns:
             v = v.withColumn(c, F.lit(0))
-    return v.groupBy("fid", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p")).mapInPandas(run, _RINGS).transform(_numbered)
+    rings = v.groupBy("fid", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    own = rings.select("fid", "part", "ring", *(F.col(f"p.{c}").cast("array<double>").alias(f"{c}s") for c in ("x", "y")))
+    return own.mapInPandas(_through(work), _RINGS).transform(_numbered)
 
 
 def _numbered(pieces: DataFrame) -> DataFrame:

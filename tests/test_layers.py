@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zipfile
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def test_groups_don_t_collide(spark):
     assert all(r.n == r.k for r in per) and sorted({r.part for r in per}) == list(range(len(per)))
 
 
+def test_ring_tools_return_small_frames():
+    rings = pd.DataFrame({"fid": range(3000), "part": 0, "ring": 0, "xs": [np.array([0.0, 1.0, 2.0])] * 3000, "ys": [np.array([5.0, 6.0, 7.0])] * 3000})
+    sizes, seen = [], set()
+    for f in tools._through(lambda r: [r * 10, r])(iter([rings])):
+        sizes.append(len(f))
+        seen.update(zip(f.fid, f.piece, f.seq, strict=True))
+    assert sum(sizes) == len(seen) == 3000 * 33 and max(sizes) < tools._ROWS + 30 and len(sizes) > 3
+    assert list(tools._through(lambda r: [])(iter([rings]))) == []
+
+
 def test_clicks(spark):
     click = spark.createDataFrame([(1, 3.0, 3.0), (2, 55.0, 5.0), (3, 30.0, 30.0), (4, 1.0, 9.5), (5, 102.0, 7.0)], "q int, x double, y double")
     here = identify.clicks_in(click, 0.25, 4326, 4326)
