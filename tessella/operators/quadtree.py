@@ -47,7 +47,7 @@ def around_points(points: DataFrame, boxes: DataFrame, reach: float = 0.0, squar
     inside = (F.col("x") >= F.col("_minx")) & (F.col("x") <= F.col("_maxx")) & (F.col("y") >= F.col("_miny")) & (F.col("y") <= F.col("_maxy"))
     for point, box in by or []:
         kept = kept.withColumnRenamed(box, point)
-    return asks.join(kept, [*_TILE, *(p for p, _ in by or [])]).where(inside).drop(*_TILE, *(f"_{c}" for c in BOX))
+    return asks.join(geom.dealt(kept), [*_TILE, *(p for p, _ in by or [])]).where(inside).drop(*_TILE, *(f"_{c}" for c in BOX))
 
 
 def rings_at_points(spark: SparkSession, d: str) -> DataFrame:
@@ -57,8 +57,8 @@ def rings_at_points(spark: SparkSession, d: str) -> DataFrame:
     area = geom.double_area(geom.segments(v, ["fid", "part", "ring"]), ["fid", "part", "ring"]).select("fid", "part", "ring", (F.abs("area2") / 2).alias("area"))
     # A hole's box is empty; a shell's is filled but for its holes.
     holes = area.where("ring > 0").groupBy("fid", "part").agg(F.sum("area").alias("gone"))
-    filled = area.join(holes, ["fid", "part"], "left").select("fid", "part", "ring", F.when(F.col("ring") > 0, 0.0).otherwise(F.col("area") - F.coalesce("gone", F.lit(0.0))).alias("filled"))
-    rings = box.join(filled, ["fid", "part", "ring"]).select("fid", "ring", *BOX, F.round(F.col("filled") / ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))), 6).alias("share"))
+    filled = area.join(geom.dealt(holes), ["fid", "part"], "left").select("fid", "part", "ring", F.when(F.col("ring") > 0, 0.0).otherwise(F.col("area") - F.coalesce("gone", F.lit(0.0))).alias("filled"))
+    rings = box.join(geom.dealt(filled), ["fid", "part", "ring"]).select("fid", "ring", *BOX, F.round(F.col("filled") / ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))), 6).alias("share"))
     world = spark.createDataFrame([(0, 0, -180.0, -90.0, 180.0, 90.0, 1.0)], rings.schema)
     sites = fx.sites(spark, d).select(F.col("fid").alias("site"), "x", "y")
     return around_points(sites, rings.union(world), 1e-9).groupBy("fid", "ring", "share").agg(F.count("*").alias("n_sites"), F.min("site").alias("first_site"))
