@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import registry
 from tessella.functions import geom, grid
 from tessella.operators import dissolve, fill, outlines, quadtree, tools
 from tessella.shared import exists, remove
@@ -232,3 +233,10 @@ def test_small_faces_are_outlined_only(spark):
     for deepest, filled in ((4, {1}), (2, {0, 1})):
         segments, fills = fill.drawable_tiles(rings, 2, deepest, 2000.0)
         assert {r.fid for r in segments.collect()} == {0, 1} and {r.fid for r in fills.collect()} == filled
+
+
+@pytest.mark.parametrize(("name", "bounded"), [("rings_at_points", 0), ("triangle_partition", 0), ("filled_geometry", 0), ("drawn_tiles", 1)])
+def test_exploded_tables_are_not_broadcast(spark, name, bounded):
+    # drawn_tiles joins two tables of a row a tile; all else grows with the input.
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= bounded
