@@ -67,14 +67,21 @@ def linear_layer(layer: DataFrame, step: float = STEP) -> DataFrame:
     return out.withColumn("kind", F.when(left, F.raise_error(F.concat(F.lit("still a curve: "), "kind"))).otherwise(F.col("kind")))
 
 
+def path_length(points: Column) -> Column:
+    """Length of the line through points in array form, summed from its start."""
+    step = lambda p, i: F.hypot(p[i + 1]["x"] - p[i]["x"], p[i + 1]["y"] - p[i]["y"])
+    return geom.bound(points, lambda p: F.when(F.size(p) > 1, F.aggregate(F.sequence(F.lit(0), F.size(p) - 2), F.lit(0.0), lambda t, i: t + step(p, i))).otherwise(0.0))
+
+
 def arc_lengths(spark: SparkSession, d: str) -> DataFrame:
     """An arc over each parcel, from corner to corner through the middle of its top: vertices and length in steps of four degrees."""
     at = lambda x, y: _struct(x.cast("double"), y.cast("double"))
     x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
-    layer = fx.parcels(spark, d).select("fid", F.lit("CIRCULARSTRING").alias("kind"), F.array(at(x, y), at(x + w / 2, y + h), at(x + w, y)).alias("points"))
-    v = linear_layer(layer).select("fid", F.posexplode("points").alias("seq", "v")).select("fid", "seq", "v.x", "v.y")
-    e = geom.segments(v, ["fid"])
-    return e.groupBy("fid").agg((F.count("*") + 1).alias("n_vertices"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 6).alias("length"))
+    # A parcel is few bytes and its arc much work: files alone would give few tasks.
+    parcels = fx.parcels(spark, d).select("fid", "x0", "y0", "w", "h").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fid")
+    layer = parcels.select("fid", F.lit("CIRCULARSTRING").alias("kind"), F.array(at(x, y), at(x + w / 2, y + h), at(x + w, y)).alias("points"))
+    # An arc is whole in its row, so its length is summed there: no vertex is shuffled or sorted.
+    return linear_layer(layer).select("fid", geom.bound(F.col("points"), lambda p: F.struct(F.size(p).cast("long").alias("n_vertices"), F.round(path_length(p), 6).alias("length"))).alias("a")).select("fid", "a.*")
 
 
 QUERIES = {"arc_lengths": arc_lengths}

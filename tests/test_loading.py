@@ -148,6 +148,14 @@ def test_arcs(spark, curve, length, ends):
     assert (v[0], v[-1]) == ends and abs(got - length) <= length * 1e-3
 
 
+def test_lengths_in_the_row(spark):
+    lines = [[], [(1, 1)], [(0, 0), (3, 4)], [(0, 0), (3, 4), (3, 4), (3, 0)]]
+    df = spark.createDataFrame([(k, [dict(x=float(x), y=float(y)) for x, y in p]) for k, p in enumerate(lines)], f"k int, p {geom.RING}")
+    assert [r[0] for r in df.orderBy("k").select(arcs.path_length(F.col("p"))).collect()] == [0.0, 0.0, 5.0, 9.0]
+    plan = arcs.arc_lengths(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1  # parcels are dealt, vertices are not
+
+
 def test_no_curve_is_left(spark):
     layer = spark.createDataFrame([("COMPOUNDCURVE", [dict(x=0.0, y=0.0)])], f"kind string, points {geom.RING}")
     with pytest.raises(PySparkException, match="still a curve"):
