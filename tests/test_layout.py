@@ -240,3 +240,9 @@ def test_exploded_tables_are_not_broadcast(spark, name, bounded):
     # drawn_tiles joins two tables of a row a tile; all else grows with the input.
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastExchange") <= bounded
+
+
+def test_pairs_of_sites_and_parcels_are_not_shuffled(spark):
+    plan = registry.queries()["point_in_polygon_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "BroadcastExchange" not in plan
+    assert "partial_count" in plan[: plan.index("Join")]  # counted by parcel before anything leaves the join's task
