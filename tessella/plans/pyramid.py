@@ -24,6 +24,7 @@ from tessella.plans import topology
 RING_SCHEMA = "level int, tx int, ty int, type int, hole int, poly_group string, fid long, xs array<int>, ys array<int>, reason string, cell int"
 COVER_SCHEMA = "level int, tx int, ty int, cell int, cnt int"
 STORE_VERSION = 1
+_SHORT = 32  # vertices
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,8 @@ def route_ring(kind: int, xs: np.ndarray, ys: np.ndarray, square: grid.Square, c
 def _settle(kind: int, part: np.ndarray, ox: float, oy: float, cell: float, side: int) -> tuple:
     """Quantise and prune; a face without area becomes a square of one cell, a line of one point a step of one cell."""
     closed = kind == geom.FACE
+    if len(part) <= _SHORT:
+        return _settle_short(closed, part.tolist(), ox, oy, cell)
     q = quantise(part, ox, oy, cell)
     if closed and len(q) > 1 and (q[0] == q[-1]).all():
         q = q[:-1]
@@ -137,6 +140,34 @@ def _settle(kind: int, part: np.ndarray, ox: float, oy: float, cell: float, side
     return x, y, "kept", -1
 
 
+def _settle_short(closed: bool, part: list, ox: float, oy: float, cell: float) -> tuple:
+    """What :func:`_settle` does, for rings so short that calls into numpy would take most of the time."""
+    snap = lambda v: min(grid.MAX_INT16, max(grid.MIN_INT16, math.floor(v + 0.5) if v >= 0 else -math.floor(0.5 - v)))
+    q: list[tuple[int, int]] = []
+    for x, y in part:
+        p = (snap((x - ox) / cell), snap((y - oy) / cell))
+        if not q or p != q[-1]:
+            q.append(p)
+    if closed and len(q) > 1 and q[0] == q[-1]:
+        q.pop()
+    n, least = len(q), 3 if closed else 2
+    if n > least:
+        off = [
+            (q[k][0] - q[k - 1][0]) * (q[(k + 1) % n][1] - q[k][1]) != (q[k][1] - q[k - 1][1]) * (q[(k + 1) % n][0] - q[k][0]) or (not closed and k in (0, n - 1))
+            for k in range(n)
+        ]
+        if sum(off) >= least:
+            q = [p for p, keep in zip(q, off, strict=True) if keep]
+    xs, ys = [p[0] for p in q], [p[1] for p in q]
+    if closed and (len(q) < 3 or not sum(xs[k - 1] * ys[k] - xs[k] * ys[k - 1] for k in range(len(q)))):
+        mean = np.array(part).mean(0)
+        cx, cy = snap((mean[0] - ox) / cell), snap((mean[1] - oy) / cell)
+        return [cx, cx + 1, cx + 1, cx], [cy, cy, cy + 1, cy + 1], "stub", -1
+    if not closed and len(q) < 2:
+        return [xs[0], xs[0] + 1], [ys[0], ys[0]], "stub", -1
+    return xs, ys, "kept", -1
+
+
 def clip_runs(points: list, minx: float, miny: float, maxx: float, maxy: float) -> list[list]:
     """The continuous runs of a line inside a rectangle."""
     runs: list[list] = []

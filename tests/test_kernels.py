@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tessella.functions import grid, kernels
+from tessella.functions import geom, grid, kernels
 from tessella.plans import pyramid, topology
 
 SQUARE = [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)]
@@ -147,6 +147,20 @@ def test_area_is_kept_over_a_pyramid():
         assert total == pytest.approx(20 * 80, rel=0.05)
 
 
+def test_short_rings_settle_as_long_ones_do(monkeypatch):
+    rng, numpy_calls = random.Random(1), []
+    at = lambda s: rng.choice([rng.uniform(-s, s), round(rng.uniform(-s, s) * 2) / 2])
+    rings = [[(at(s), at(s)) for _ in range(rng.choice([1, 2, 3, 4, 4, 5, 9]))] for s in (0.2, 1, 5, 30, 1e5) for _ in range(400)]
+    plain = lambda r: (list(map(int, r[0])), list(map(int, r[1])), *r[2:])
+    run = lambda: [plain(pyramid._settle(kind, np.array(p, float), 0.25, -0.5, 1.0, 512)) for p in rings + [[*p, p[0]] for p in rings] for kind in (geom.FACE, geom.LINE)]
+    real = pyramid.drop_collinear
+    monkeypatch.setattr(pyramid, "drop_collinear", lambda *a: (numpy_calls.append(1), real(*a))[1])
+    short = run()
+    assert not numpy_calls
+    monkeypatch.setattr(pyramid, "_SHORT", 0)
+    assert run() == short and numpy_calls
+
+
 def test_sub_cell_faces_are_counted_or_stubbed():
     cfg = pyramid.PyramidConfig(deepest=2)
     square = grid.Square(0.0, 0.0, 100.0)
