@@ -235,7 +235,7 @@ def test_small_faces_are_outlined_only(spark):
         assert {r.fid for r in segments.collect()} == {0, 1} and {r.fid for r in fills.collect()} == filled
 
 
-@pytest.mark.parametrize(("name", "bounded"), [("rings_at_points", 0), ("triangle_partition", 0), ("filled_geometry", 0), ("drawn_tiles", 1)])
+@pytest.mark.parametrize(("name", "bounded"), [("rings_at_points", 0), ("shared_edges", 0), ("triangle_partition", 0), ("filled_geometry", 0), ("drawn_tiles", 1)])
 def test_exploded_tables_are_not_broadcast(spark, name, bounded):
     # drawn_tiles joins two tables of a row a tile; all else grows with the input.
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
