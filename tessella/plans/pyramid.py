@@ -14,15 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella import fixtures as fx
 from tessella.functions import geom, grid, kernels
 from tessella.plans import topology
+from tessella.shared import spread, written
 
 RING_SCHEMA = "level int, tx int, ty int, type int, hole int, poly_group string, fid long, xs array<int>, ys array<int>, reason string, cell int"
 COVER_SCHEMA = "level int, tx int, ty int, cell int, cnt int"
+TILE = ["level", "tx", "ty"]
 STORE_VERSION = 1
 _SHORT = 32  # vertices
 
@@ -53,7 +55,7 @@ def pick_level(n_features: int, side: float, p50: float, factor: float = 1.0, ca
 def rings_of(vertices: DataFrame, kind: int) -> DataFrame:
     """fid, type, hole, poly_group, xs, ys of layers in vertex form; rings of fewer than 3 (lines: 2) vertices go."""
     by = [c for c in ("fid", "part", "ring") if c in vertices.columns]
-    pts = vertices.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    pts = spread(vertices, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
     part = F.col("part") if "part" in by else F.lit(0)
     hole = (F.col("ring") > 0).cast("int") if "ring" in by else F.lit(0)
     least = {geom.FACE: 3, geom.LINE: 2, geom.POINT: 1}[kind]
@@ -87,18 +89,19 @@ def drop_collinear(q: np.ndarray, closed: bool) -> np.ndarray:
 def route_ring(kind: int, xs: np.ndarray, ys: np.ndarray, square: grid.Square, cfg: PyramidConfig) -> Iterator[tuple]:
     """(level, tx, ty, xs, ys, reason, cell) of a ring at every kept level; reason is what became of a degenerate one."""
     pts = np.column_stack([xs, ys])
-    lo, hi = pts.min(0), pts.max(0)
+    points = list(map(tuple, pts.tolist()))
+    lo, hi = tuple(pts.min(0).tolist()), tuple(pts.max(0).tolist())
     weights = kernels.simplify_weights(pts) if kind == geom.LINE and len(pts) > 2 else None
     for level in cfg.levels:
         t, n, cell = square.tile_side(level), 1 << level, square.cell(level, cfg.deepest)
         pad = grid.tile_pad(level, cfg.deepest) * cell
-        if kind == geom.LINE and math.hypot(*(hi - lo)) < cfg.min_feature_cells * cell:
+        if kind == geom.LINE and math.hypot(hi[0] - lo[0], hi[1] - lo[1]) < cfg.min_feature_cells * cell:
             continue
-        own = pts[weights >= cfg.simplify_cells * cell] if weights is not None and level < cfg.deepest else pts
+        own = list(map(tuple, pts[weights >= cfg.simplify_cells * cell].tolist())) if weights is not None and level < cfg.deepest else points
         at = lambda v, o: min(n - 1, max(0, math.floor((v - o) / t)))
-        small = kind == geom.FACE and max(hi - lo) < cell
+        small = kind == geom.FACE and max(hi[0] - lo[0], hi[1] - lo[1]) < cell
         if small or kind == geom.POINT:
-            c = (lo + hi) / 2 if small else pts[0]
+            c = ((lo[0] + hi[0]) / 2, (lo[1] + hi[1]) / 2) if small else points[0]
             tx, ty = at(c[0], square.x), at(c[1], square.y)
             ox, oy = square.x + tx * t, square.y + ty * t
             if kind == geom.POINT:
@@ -115,18 +118,19 @@ def route_ring(kind: int, xs: np.ndarray, ys: np.ndarray, square: grid.Square, c
                 box = (ox - pad, oy - pad, ox + t + pad, oy + t + pad)
                 inside = lo[0] >= box[0] and lo[1] >= box[1] and hi[0] <= box[2] and hi[1] <= box[3]
                 if kind == geom.FACE:
-                    parts = [kernels.opened([tuple(p) for p in own.tolist()])] if inside else kernels.clip_polygon([tuple(p) for p in own.tolist()], *box)
+                    parts = [kernels.opened(own)] if inside else kernels.clip_polygon(own, *box)
                 else:
-                    parts = [own.tolist()] if inside else clip_runs(own.tolist(), *box)
+                    parts = [own] if inside else clip_runs(own, *box)
                 for part in parts:
-                    yield (level, tx, ty, *_settle(kind, np.array(part, float), ox, oy, cell, grid.tile_cells(level, cfg.deepest)))
+                    yield (level, tx, ty, *_settle(kind, part, ox, oy, cell, grid.tile_cells(level, cfg.deepest)))
 
 
-def _settle(kind: int, part: np.ndarray, ox: float, oy: float, cell: float, side: int) -> tuple:
+def _settle(kind: int, part: list | np.ndarray, ox: float, oy: float, cell: float, side: int) -> tuple:
     """Quantise and prune; a face without area becomes a square of one cell, a line of one point a step of one cell."""
     closed = kind == geom.FACE
     if len(part) <= _SHORT:
-        return _settle_short(closed, part.tolist(), ox, oy, cell)
+        return _settle_short(closed, part, ox, oy, cell)
+    part = np.array(part, float)
     q = quantise(part, ox, oy, cell)
     if closed and len(q) > 1 and (q[0] == q[-1]).all():
         q = q[:-1]
@@ -140,7 +144,7 @@ def _settle(kind: int, part: np.ndarray, ox: float, oy: float, cell: float, side
     return x, y, "kept", -1
 
 
-def _settle_short(closed: bool, part: list, ox: float, oy: float, cell: float) -> tuple:
+def _settle_short(closed: bool, part: list | np.ndarray, ox: float, oy: float, cell: float) -> tuple:
     """What :func:`_settle` does, for rings so short that calls into numpy would take most of the time."""
     snap = lambda v: min(grid.MAX_INT16, max(grid.MIN_INT16, math.floor(v + 0.5) if v >= 0 else -math.floor(0.5 - v)))
     q: list[tuple[int, int]] = []
@@ -160,7 +164,7 @@ def _settle_short(closed: bool, part: list, ox: float, oy: float, cell: float) -
             q = [p for p, keep in zip(q, off, strict=True) if keep]
     xs, ys = [p[0] for p in q], [p[1] for p in q]
     if closed and (len(q) < 3 or not sum(xs[k - 1] * ys[k] - xs[k] * ys[k - 1] for k in range(len(q)))):
-        mean = np.array(part).mean(0)
+        mean = np.array(part, float).mean(0).tolist()
         cx, cy = snap((mean[0] - ox) / cell), snap((mean[1] - oy) / cell)
         return [cx, cx + 1, cx + 1, cx], [cy, cy, cy + 1, cy + 1], "stub", -1
     if not closed and len(q) < 2:
@@ -207,26 +211,45 @@ def coverage(routed: DataFrame) -> DataFrame:
 
 
 def tidy_tiles(routed: DataFrame, cfg: PyramidConfig) -> DataFrame:
-    """The topology pass over the faces of each tile above the deepest level; all other rings stay."""
+    """The topology pass over the faces of each tile above the deepest level; all other rings stay.
+
+    A tile's task gets each different ring once, with the number of its copies: as many as the tile's grid holds, however many rings
+    fall together there. What became of a ring goes to its copies by a join.
+    """
     faces = routed.where((F.col("type") == geom.FACE) & (F.col("level") < cfg.deepest) & (F.col("reason") == "kept"))
     rest = routed.where(~((F.col("type") == geom.FACE) & (F.col("level") < cfg.deepest) & (F.col("reason") == "kept")) & (F.col("reason") != "coverage"))
+    shape = [*TILE, "xs", "ys"]
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        rings = {k: list(zip(map(int, x), map(int, y), strict=True)) for k, (x, y) in enumerate(zip(f["xs"], f["ys"], strict=True))}
-        done = topology.tidy(rings, 3 * cfg.topology_cells, 0, grid.NET_CELLS, cfg.merge_cells)
-        out = f.iloc[list(done)].copy()
-        out["xs"], out["ys"] = [[p[0] for p in r] for r in done.values()], [[p[1] for p in r] for r in done.values()]
-        groups: dict[int, list[int]] = {}
-        for at, group in enumerate(out["poly_group"]):
-            groups.setdefault(group, []).append(at)
-        shapes, hole = list(done.values()), np.zeros(len(out), np.int32)
-        for own in groups.values():
-            if len(own) > 1:
-                hole[own] = topology.holes([shapes[at] for at in own])
-        out["hole"] = hole
+        rings = [list(zip(x.tolist(), y.tolist(), strict=True)) for x, y in zip(f["xs"], f["ys"], strict=True)]
+        done = topology.tidy_counted(rings, f["n"].tolist(), 3 * cfg.topology_cells, 0, grid.NET_CELLS, cfg.merge_cells)
+        of = [d[0] for d in done]
+        out = f.iloc[of][shape].copy()
+        out["copy"], out["last"] = [d[1] for d in done], [d[2] for d in done]
+        out["to_xs"], out["to_ys"] = [[p[0] for p in d[3]] for d in done], [[p[1] for p in d[3]] for d in done]
         return out
 
-    return faces.groupBy("level", "tx", "ty").applyInPandas(one, RING_SCHEMA).union(rest.select(*faces.columns))
+    # most rings of fine levels have no copies; a copy's number follows the id, so it is the same in every run
+    counted = faces.groupBy(*shape).agg(F.count("*").alias("n"))
+    became = spread(counted, *TILE).groupBy(*TILE).applyInPandas(one, "level int, tx int, ty int, xs array<int>, ys array<int>, copy long, last long, to_xs array<int>, to_ys array<int>")
+    number = F.row_number().over(Window.partitionBy(*shape).orderBy("fid", "poly_group", "hole")) - 1
+    met = faces.withColumn("_n", number.cast("long")).join(geom.dealt(became), shape).where("copy = least(_n, last)")
+    tidied = met.select(*TILE, "type", "poly_group", "fid", F.col("to_xs").alias("xs"), F.col("to_ys").alias("ys"), "reason", "cell")
+    return told_holes(tidied).select(*faces.columns).union(rest.select(*faces.columns))
+
+
+def told_holes(rings: DataFrame) -> DataFrame:
+    """``hole`` of the rings of each polygon in a tile, told anew from their places."""
+
+    @F.pandas_udf("array<int>")
+    def holes(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        whole = lambda x, y: [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in zip(x, y, strict=True)]
+        return pd.Series([[0] if len(x) == 1 else [int(h) for h in topology.holes(whole(x, y))] for x, y in zip(xs, ys, strict=True)])
+
+    own = [c for c in rings.columns if c not in (*TILE, "poly_group")]
+    g = rings.groupBy(*TILE, "poly_group").agg(F.array_sort(F.collect_list(F.struct("xs", "ys", *(c for c in own if c not in ("xs", "ys"))))).alias("r"))
+    g = g.withColumn("h", holes(F.transform("r", lambda v: v["xs"]), F.transform("r", lambda v: v["ys"])))
+    return g.select(*TILE, "poly_group", F.explode(F.arrays_zip("r", "h")).alias("z")).select(*TILE, "poly_group", "z.r.*", F.col("z.h").alias("hole"))
 
 
 def merge_coarse(routed: DataFrame, cfg: PyramidConfig) -> DataFrame:
@@ -248,18 +271,18 @@ def merge_coarse(routed: DataFrame, cfg: PyramidConfig) -> DataFrame:
                 parts = kernels.clip_polygon(pts, 0, 0, net, net) if r.type == geom.FACE else clip_runs(pts, 0, 0, net, net) if r.type == geom.LINE else [pts]
                 dx, dy = (r.tx & ((1 << k) - 1)) * net, (r.ty & ((1 << k) - 1)) * net
                 for p in parts:
-                    xs, ys, reason, cell = _settle(r.type, np.array(p, float) + (dx, dy), 0.0, 0.0, ratio, 0) if r.type != geom.POINT else ([round((p[0][0] + dx) / ratio)], [round((p[0][1] + dy) / ratio)], "kept", -1)
+                    xs, ys, reason, cell = _settle(r.type, [(x + dx, y + dy) for x, y in p], 0.0, 0.0, ratio, 0) if r.type != geom.POINT else ([round((p[0][0] + dx) / ratio)], [round((p[0][1] + dy) / ratio)], "kept", -1)
                     out.append((to, r.tx >> k, r.ty >> k, r.type, r.hole, r.poly_group, r.fid, list(map(int, xs)), list(map(int, ys)), reason, cell))
             yield pd.DataFrame(out, columns=f.columns)
 
-    merged = child.mapInPandas(run, RING_SCHEMA)
+    merged = written(child.mapInPandas(run, RING_SCHEMA), "merged")
     stubs = merged.where("reason = 'stub'").dropDuplicates(["level", "tx", "ty", "type", "xs", "ys"])
     return routed.where(F.col("level") != to).union(merged.where("reason <> 'stub'")).union(stubs).union(routed.where((F.col("level") == to) & (F.col("reason") == "coverage")))
 
 
 def build(layer_rings: DataFrame, square: grid.Square, cfg: PyramidConfig, merge: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rings in tiles, coverage cells); the coarsest level is made from the next finer one unless ``merge`` is off."""
-    routed = route(layer_rings, square, cfg)
+    routed = written(route(layer_rings, square, cfg), "routed")  # read several times below
     cover = coverage(routed)
     return tidy_tiles(merge_coarse(routed, cfg) if merge else routed, cfg), cover
 

@@ -62,6 +62,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt to a few tasks for each core, for work whose time the engine can't tell from bytes, such as Python's."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove tables of :func:`written` that no later step reads."""
     for df in frames:

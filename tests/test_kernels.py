@@ -167,3 +167,29 @@ def test_sub_cell_faces_are_counted_or_stubbed():
     tiny = np.array([(50, 50), (50.001, 50), (50.001, 50.001), (50, 50.001), (50, 50)], float)
     out = list(pyramid.route_ring(1, tiny[:, 0], tiny[:, 1], square, cfg))
     assert len(out) == 3 and {r[5] for r in out} == {"coverage"}
+
+
+def test_tidy_of_copies_is_that_of_single_faces():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        faces = []
+        for x, y, w, h, n in rng.integers((0, 0, 1, 1, 1), (6, 6, 4, 4, 4), (30, 5)).tolist():
+            faces += n * [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)] if n < 3 else [(x, y), (x + w, y), (x, y + h)]]
+        faces.sort(key=lambda f: (abs(kernels.signed_area(f)), f))
+        single = topology.tidy(dict(enumerate(faces)), 0.75, 0, 512)
+        own = [f for k, f in enumerate(faces) if f not in faces[:k]]
+        counts = [faces.count(f) for f in own]
+        got = {}
+        for c, copy, last, ring in topology.tidy_counted(own, counts, 0.75, 0, 512):
+            for k in range(copy, counts[c]) if copy == last else [copy]:
+                got[faces.index(own[c]) + k] = ring
+        assert got == single
+
+
+def test_a_thousand_copies_cost_one_look(monkeypatch):
+    """Rings that fall together in a coarse tile were each compared with all others there."""
+    looks = []
+    monkeypatch.setattr(topology._Counted, "_attempt", lambda self, k, was=topology._Counted._attempt: looks.append(k) or was(self, k))
+    unit = [(5, 5), (6, 5), (6, 6), (5, 6)]
+    assert topology.tidy_counted([unit], [1_000_000], 0.1, 0, 512) == [(0, 0, 0, unit)]
+    assert len(looks) == 1
