@@ -382,18 +382,46 @@ def tile_codec(spark: SparkSession, d: str) -> DataFrame:
     return tiles.groupBy("level", "tx", "ty").applyInPandas(one, "level int, tx int, ty int, bytes int, same boolean")
 
 
+def masks(tiles: DataFrame, size: int, deepest: int) -> DataFrame:
+    """Per tile and row of ``size`` (64 at most) cells a side: the bits of the cells whose centres are filled. Rows without any are left out.
+
+    Polygons of a tile are drawn a batch at a time, each different one once, and their bits are joined by rows: no task gets a whole tile.
+    """
+    ring = F.struct("hole", "xs", "ys")
+    drawn = tiles.groupBy(*TILE, "poly_group").agg(F.array_sort(F.collect_list(ring)).alias("r"))
+    drawn = drawn.select(*TILE, F.transform("r", lambda v: v["xs"]).alias("xs"), F.transform("r", lambda v: v["ys"]).alias("ys")).distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bit = np.left_shift(np.uint64(1), np.arange(size, dtype=np.uint64))
+        for f in frames:
+            out = []
+            for (level, tx, ty), own in f.groupby(TILE):
+                tri = [t for x, y in zip(own["xs"], own["ys"], strict=True) for t in kernels.triangulate([list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in zip(x, y, strict=True)])]
+                if tri:
+                    bits = (kernels.fill_mask(np.array(tri), size, grid.tile_cells(int(level), deepest) / size) * bit).sum(1, dtype=np.uint64).view(np.int64)
+                    out += [(level, tx, ty, k, b) for k, b in enumerate(bits.tolist()) if b]
+            yield pd.DataFrame(out, columns=[*TILE, "row_", "bits"])
+
+    return spread(drawn).mapInPandas(run, "level int, tx int, ty int, row_ int, bits long").groupBy(*TILE, "row_").agg(F.bit_or("bits").alias("bits"))
+
+
 def fill_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per level: tiles, how many are covered below half, mean covered share and most hole cells, over masks of 64 cells."""
-    tiles, _ = _parcel_tiles(spark, d, 3)
+    tiles = written(_parcel_tiles(spark, d, 3)[0], "tiles")
+    rows = masks(tiles, 64, 3).groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct("row_", "bits"))).alias("m"))  # 64 at most
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        level = int(f.level.iloc[0])
-        size = grid.tile_cells(level, 3)
-        tri = [t for g, own in f.groupby("poly_group") for t in kernels.triangulate([list(zip(x, y, strict=True)) for x, y in zip(own.sort_values("hole")["xs"], own.sort_values("hole")["ys"], strict=True)])]
-        mask = kernels.fill_mask(np.array(tri), 64, size / 64) if tri else np.zeros((64, 64), bool)
-        return pd.DataFrame([(level, float(mask.mean()), kernels.hole_cells(mask))], columns=["level", "covered", "holes"])
+    @F.pandas_udf("int")
+    def holes(row: pd.Series, bits: pd.Series) -> pd.Series:
+        def one(at: np.ndarray, b: np.ndarray) -> int:
+            mask = np.zeros((64, 64), bool)
+            mask[at] = (b.astype(np.int64).view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+            return kernels.hole_cells(mask)
+
+        return pd.Series([one(r, b) for r, b in zip(row, bits, strict=True)], dtype="int32")
 
-    each = tiles.groupBy("level", "tx", "ty").applyInPandas(one, "level int, covered double, holes int")
+    covered = F.aggregate("m", F.lit(0), lambda n, v: n + F.bit_count(v["bits"])) / 4096
+    drawn = rows.select(*TILE, covered.alias("covered"), holes(F.transform("m", lambda v: v["row_"]), F.transform("m", lambda v: v["bits"])).alias("holes"))
+    each = tiles.select(*TILE).distinct().join(drawn, TILE, "left").select("level", F.coalesce("covered", F.lit(0.0)).alias("covered"), F.coalesce("holes", F.lit(0)).alias("holes"))
     return each.groupBy("level").agg(F.count("*").alias("n_tiles"), F.sum((F.col("covered") < 0.5).cast("int")).alias("below_half"), F.round(F.avg("covered"), 6).alias("mean"), F.max("holes").alias("most_holes"))
 
 
