@@ -27,6 +27,8 @@ COVER_SCHEMA = "level int, tx int, ty int, cell int, cnt int"
 TILE = ["level", "tx", "ty"]
 STORE_VERSION = 1
 _SHORT = 32  # vertices
+RUN = 20_000  # rings encoded at once
+HEADER = 12  # bytes before a tile's vertices
 
 
 @dataclass(frozen=True)
@@ -366,20 +368,38 @@ def clip_area(spark: SparkSession, d: str) -> DataFrame:
     return rings_of(fx.parcel_vertices(spark, d).where("ring = 0"), geom.FACE).mapInPandas(run, "fid long, area double").where("area > 0")
 
 
-def tile_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of each encoded tile, and whether it decodes to what went in."""
-    tiles, _ = _parcel_tiles(spark, d, 3)
+def coded(tiles: DataFrame, run: int = RUN) -> DataFrame:
+    """Bytes of each tile's encoding, and whether it decodes to what went in.
+
+    A tile's rings are encoded in runs of so many, each going on where the one before ended; put one after the other, vertices first,
+    they are the whole tile's encoding. So a task holds a run, not a tile.
+    """
+    order = Window.partitionBy(*TILE).orderBy("fid", "hole", "poly_group", "xs", "ys")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    t = tiles.withColumns({
+        "k": F.row_number().over(order) - 1, "first": F.coalesce(F.sum(F.size("xs")).over(ahead), F.lit(0)),
+        "bx": F.coalesce(F.lag(F.element_at("xs", -1)).over(order), F.lit(0)), "by": F.coalesce(F.lag(F.element_at("ys", -1)).over(order), F.lit(0)),
+        "group": F.dense_rank().over(Window.partitionBy(*TILE).orderBy("fid", "poly_group")) - 1,
+    })
+    t = t.select(*TILE, F.floor(F.col("k") / run).alias("run"), "k", "first", "bx", "by", "group", "type", "hole", "xs", "ys")
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["fid", "hole"])
-        verts = np.array([p for x, y in zip(f["xs"], f["ys"], strict=True) for p in zip(x, y, strict=True)], np.int16).reshape(-1, 2)
-        first = np.cumsum([0, *f["xs"].map(len)])[:-1]
-        rings = [(int(t), int(h), int(a), len(x), int(g)) for t, h, a, x, g in zip(f.type, f.hole, first, f["xs"], pd.factorize(f.poly_group)[0], strict=True)]
-        data = kernels.encode_tile(verts, rings, [])
-        back, rings2, _ = kernels.decode_tile(data)
-        return pd.DataFrame([(f.level.iloc[0], f.tx.iloc[0], f.ty.iloc[0], len(data), bool((back == verts).all() and rings2 == rings))], columns=["level", "tx", "ty", "bytes", "same"])
-
-    return tiles.groupBy("level", "tx", "ty").applyInPandas(one, "level int, tx int, ty int, bytes int, same boolean")
+        f = f.sort_values("k")
+        verts = np.column_stack([np.concatenate(f[c].to_list()) for c in ("xs", "ys")]).astype(np.int16)
+        rings = [(int(t), int(h), int(a), len(x), int(g)) for t, h, a, x, g in zip(f["type"], f["hole"], f["first"], f["xs"], f["group"], strict=True)]
+        before = int(f["bx"].iloc[0]), int(f["by"].iloc[0])
+        data = kernels.encode_tile(verts, rings, [], before)
+        back, rings2, _ = kernels.decode_tile(data, before)
+        same = back.shape == verts.shape and bool((back == verts).all()) and rings2 == rings
+        return pd.DataFrame([(*(f[c].iloc[0] for c in TILE), len(data) - HEADER, same)], columns=[*TILE, "bytes", "same"])
+
+    done = t.groupBy(*TILE, "run").applyInPandas(one, "level int, tx int, ty int, bytes long, same boolean")
+    return done.groupBy(*TILE).agg((F.sum("bytes") + HEADER).cast("int").alias("bytes"), F.min("same").alias("same"))
+
+
+def tile_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of each encoded tile, and whether it decodes to what went in."""
+    return coded(_parcel_tiles(spark, d, 3)[0])
 
 
 def masks(tiles: DataFrame, size: int, deepest: int) -> DataFrame:

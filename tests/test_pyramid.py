@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.functions import kernels
 from tessella.plans import pyramid
 
 
@@ -16,3 +17,12 @@ def test_masks_join_the_bits_of_polygons_drawn_apart(spark):
     got = {r.row_: r.bits & (1 << 64) - 1 for r in pyramid.masks(rings, 64, 3).collect()}
     frame, ring = 0xFF, 0xC3
     assert got == {k: ring if 2 <= k < 6 else frame for k in range(8)} | {k: 0xFF << 56 for k in range(56, 64)}
+
+
+def test_runs_of_rings_are_the_whole_tile(spark):
+    rows = [(fid, hole, 7 * fid % 400, 11 * fid % 300 + hole, 20 - hole) for fid in range(1, 8) for hole in (0, 1)]
+    tiles = boxes(spark, rows)
+    verts = pyramid.np.array([p for _, _, x, y, s in rows for p in ((x, y), (x + s, y), (x + s, y + s), (x, y + s))], pyramid.np.int16)
+    whole = kernels.encode_tile(verts, [(1, hole, 4 * k, 4, fid - 1) for k, (fid, hole, *_) in enumerate(rows)], [])
+    for run in (1, 3, 1000):
+        assert pyramid.coded(tiles, run).collect() == [(0, 0, 0, len(whole), True)]
