@@ -1,8 +1,9 @@
-"""Tiles drawn and encoded in parts."""
+"""Tiles drawn and encoded in parts, vectors compared in blocks."""
 
 from __future__ import annotations
 
 from tessella.functions import kernels
+from tessella.operators import spatial
 from tessella.plans import pyramid
 
 
@@ -26,3 +27,15 @@ def test_runs_of_rings_are_the_whole_tile(spark):
     whole = kernels.encode_tile(verts, [(1, hole, 4 * k, 4, fid - 1) for k, (fid, hole, *_) in enumerate(rows)], [])
     for run in (1, 3, 1000):
         assert pyramid.coded(tiles, run).collect() == [(0, 0, 0, len(whole), True)]
+
+
+def test_nearest_vectors_go_on_a_block_at_a_time(spark):
+    """Every pair was sorted with both vectors before."""
+    rows = [(k, [float(k * k % 89), float(k * 7 % 31)], k % 2) for k in range(1500)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    near = spatial.nearest_vectors(v.where("vec_id % 50 = 0"), v)
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    want = {a: min((far(p, q), b) for b, q, m in rows if m == n and b != a) for a, p, n in rows if a % 50 == 0}
+    assert {r.vec_id: tuple(r.b) for r in near.collect()} == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Generate") < plan.index("Join")  # the nearest of a block is found before rows are sorted
