@@ -189,6 +189,22 @@ def test_union_of_boxes_is_exact(spark, shapes, areas):
     assert union_area(spark, [r for k, s in enumerate(shapes) for r in polygon(k, s)])[1] == areas
 
 
+def test_union_of_a_deep_stack_keeps_few_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    shapes = [(rng.randrange(60), rng.randrange(60), rng.randrange(40, 90), rng.randrange(40, 90)) for _ in range(150)]
+    rows, write = [], dissolve.written
+
+    def counted(df, tag):
+        out = write(df, tag)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(dissolve, "written", counted)
+    got, _ = union_area(spark, [r for k, s in enumerate(shapes) for r in polygon(k, box(*s))], 1.0)
+    assert got == len({(x, y) for a, b, w, h in shapes for x in range(a, a + w) for y in range(b, b + h)})
+    assert max(rows) < 8_000  # 12,765 pieces when all crossings are cut
+
+
 def test_union_with_holes_and_slopes(spark):
     donut = polygon(0, box(0, 0, 12, 12)) + polygon(0, box(3, 3, 6, 6), ring=1)
     assert union_area(spark, donut + polygon(1, box(5, 5, 2, 2)))[1] == [-36, 4, 144]
