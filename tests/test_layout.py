@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import registry
 from tessella.functions import geom, grid
-from tessella.operators import dissolve, fill, outlines, quadtree, tools
+from tessella.operators import dissolve, fill, outlines, quadtree, spatial, tools
 from tessella.shared import exists, remove
 from tessella.sources import clustered, region
 
@@ -262,3 +262,20 @@ def test_pairs_of_sites_and_parcels_are_not_shuffled(spark):
     plan = registry.queries()["point_in_polygon_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and "BroadcastExchange" not in plan
     assert "partial_count" in plan[: plan.index("Join")]  # counted by parcel before anything leaves the join's task
+
+
+def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
+    def no_pairs(*_):
+        raise AssertionError("pairs of boxes are made")
+
+    rng = random.Random(6)
+    corners = [(float(rng.randrange(-20, 20)), float(rng.randrange(-20, 20))) for _ in range(300)]
+    rows = [(k, x, y, x + rng.randrange(9), y + rng.randrange(9)) for k, (x, y) in enumerate(corners)]
+    rows += [(1000 + k, *rows[k][1:]) for k in range(40)] + [(1, -5.0, -5.0, 5.0, 5.0), (900, None, 0.0, 1.0, 1.0)]
+    meet = lambda a, b: a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    counted = lambda rows: {f: n for f in {r[0] for r in rows} if (n := sum(meet(a, b) for a in rows if a[0] == f and a[1] is not None for b in rows if b[0] != f and b[1] is not None))}
+    ask = lambda rows: {r.fid: r.n_overlaps for r in spatial.overlap_counts(spark.createDataFrame(rows, "fid long, minx double, miny double, maxx double, maxy double"), 7).collect()}
+    odd = [*rows, (2000, 4.0, -3.0, -4.0, 3.0), (2001, 0.0, 2.0, 1.0, -2.0)]  # inside out
+    assert ask(odd) == counted(odd)
+    monkeypatch.setattr(spatial, "box_join", no_pairs)
+    assert ask(rows) == counted(rows)
