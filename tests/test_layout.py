@@ -121,6 +121,14 @@ def plain_clip_area(ring, box):
     return inside * (box[2] - box[0]) * (box[3] - box[1]) / n / n
 
 
+def test_ring_inside_a_rectangle_is_not_cut(spark):
+    rows = spark.createDataFrame([([(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)],), ([(0.0, 0.0), (9.0, 0.0), (9.0, 1.0), (0.0, 1.0)],)], f"p {geom.RING}")
+    got = rows.select(geom.clip_ring(F.col("p"), *map(F.lit, (0.0, 0.0, 4.0, 4.0))).alias("q"))
+    assert [[(v.x, v.y) for v in r.q] for r in got.collect()] == [[(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0)], [(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (0.0, 1.0)]]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "case when forall" in plan
+
+
 def test_clip_ring(spark):
     ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (7.0, 10.0), (7.0, 3.0), (3.0, 3.0), (3.0, 10.0), (0.0, 10.0)]
     df = spark.createDataFrame([([dict(x=x, y=y) for x, y in ring],)], f"p {geom.RING}")
