@@ -3,20 +3,30 @@
 A click reaches so many pixels. Where the map's system differs from the layer's, its reach there is the distance between two
 reprojected points, the click and the place a reach to its right. Candidates come from an equi-join of the tiles that a click's box and
 the features' boxes meet; only the vertices of candidates are then read and measured.
+
+Where features lie many deep, most candidates can't win. So clicks are first held against the polygons of the smallest fids, then against eight
+times as many, and so on: a click inside one of them is settled, as no other is nearer and none with a smaller fid is left. All others
+look for features within a small part of their reach, then further: what is found there is nearer than all that wasn't looked at.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import fixtures as fx
 from tessella.functions import crs, geom
-from tessella.operators.spatial import box_join
+from tessella.operators.spatial import SQUARE, box_join
+from tessella.shared import written
 
 PIXELS = 10
+FIRST = 3  # the first polygons looked at are 8 ** FIRST or more
+FINEST = 14
+SHARES = (1 / 16, 1 / 4, 1)  # of the reach, one after another
 
 
 @dataclass(frozen=True)
@@ -43,22 +53,52 @@ def _described(attributes: DataFrame) -> DataFrame:
     return attributes.select("fid", F.concat_ws("\n", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in names)).alias("attributes"))
 
 
-def identify(clicks: DataFrame, layer: Layer, level: int) -> DataFrame:
-    """The nearest feature within reach of each click, ties to the smallest fid: q, layer, fid, distance, attributes."""
-    key = [c for c in ("fid", "part", "ring") if c in layer.vertices.columns]
-    part = [c for c in key if c != "ring"]  # parts of a feature may lie far apart, so each has a box of its own
-    boxes = layer.vertices.groupBy(*part).agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
-    near = box_join(clicks, boxes, level).select("q", "qx", "qy", "tol", *(F.col(f"r_{c}").alias(c) for c in part))
-    own = layer.vertices.join(near.select(*part).distinct(), part, "left_semi")
+def _hits(clicks: DataFrame, layer: Layer, boxes: DataFrame, vertices: DataFrame, level: int, at_only: bool = False) -> DataFrame:
+    """The nearest feature within ``tol`` of each click, ties to the smallest fid: q, b (d, fid)."""
+    key = [c for c in ("fid", "part", "ring") if c in vertices.columns]
+    part = [c for c in key if c != "ring"]
+    near = box_join(clicks, boxes, level).select("q", "qx", "qy", "tol", *(F.col(f"r_{c}").alias(c) for c in [*part, *(c for c in ("x", "y") if c in boxes.columns)]))
     if layer.kind == geom.POINT:
-        hit = near.join(own, part).groupBy("q", "tol", *part).agg(F.min(F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))).alias("d"))
+        hit = near.select("q", "tol", "fid", F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")).alias("d"))
     else:
+        own = vertices.join(near.select(*part).distinct(), part, "left_semi")
         ends = [F.col(c) for c in ("qx", "qy", "x1", "y1", "x2", "y2")]
         odd = F.sum(geom.crosses_ray(*ends).cast("int")) % 2 == 1
         inside = odd if layer.kind == geom.FACE else F.lit(False)
-        hit = near.join(geom.segments(own, key), part).groupBy("q", "tol", *part).agg(F.min(geom.segment_distance(*ends)).alias("d"), inside.alias("inside"))
+        hit = near.join(geom.dealt(geom.segments(own, key)), part).groupBy("q", "tol", *part).agg(F.min(geom.segment_distance(*ends)).alias("d"), inside.alias("inside"))
         hit = hit.withColumn("d", F.when(F.col("inside"), 0.0).otherwise(F.col("d")))
-    best = hit.where("d <= tol").groupBy("q").agg(F.min(F.struct("d", "fid")).alias("b")).select("q", F.lit(layer.name).alias("layer"), F.col("b.fid").alias("fid"), F.col("b.d").alias("distance"))
+        hit = hit.where("d = 0") if at_only else hit
+    return hit.where("d <= tol").groupBy("q").agg(F.min(F.struct("d", "fid")).alias("b"))
+
+
+def identify(clicks: DataFrame, layer: Layer, level: int) -> DataFrame:
+    """The nearest feature within reach of each click, ties to the smallest fid: q, layer, fid, distance, attributes."""
+    part = [c for c in ("fid", "part") if c in layer.vertices.columns]  # parts of a feature may lie far apart, so each has a box of its own
+    if layer.kind == geom.POINT:  # points that fall together count once, with the smallest fid
+        boxes = layer.vertices.groupBy("x", "y").agg(F.min("fid").alias("fid")).withColumns({c: F.col(c[3:]) for c in ("minx", "miny", "maxx", "maxy")})
+    else:
+        boxes = layer.vertices.groupBy(*part).agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    boxes, left, found = written(boxes, "boxes"), written(clicks, "clicks"), []
+
+    reach, extent = clicks.agg(F.max("tol")).first()[0] or 0.0, boxes.agg(F.avg(F.greatest(F.expr("maxx - minx"), F.expr("maxy - miny")))).first()[0] or 0.0
+
+    def settle(asked: DataFrame, of: DataFrame, vertices: DataFrame, share: float = 0.0, **how: bool) -> DataFrame:
+        # tiles as small as what is looked for, so that few pairs meet in one that are far apart
+        at = max(level, min(FINEST, int(math.log2(SQUARE.side / max(4 * reach * share, extent, SQUARE.side / 2**FINEST)))))
+        found.append(written(_hits(asked, layer, of, vertices, at, **how), "found"))
+        return written(left.join(geom.dealt(found[-1].select("q")), "q", "left_anti"), "clicks")
+
+    if layer.kind == geom.FACE:
+        n = boxes.select("fid").distinct().count()
+        shares = [1 / 8**k for k in range(max(0, int(math.log(max(1, n), 8)) - FIRST), 0, -1)]
+        for upto in boxes.select(F.percentile_approx("fid", shares or [1.0])).first()[0] or [] if shares else []:
+            at = left.withColumns({"minx": F.col("qx"), "miny": F.col("qy"), "maxx": F.col("qx"), "maxy": F.col("qy")})
+            left = settle(at, boxes.where(F.col("fid") <= upto), layer.vertices.where(F.col("fid") <= upto), at_only=True)
+    for share in SHARES:
+        asked = left.withColumn("tol", F.col("tol") * share)
+        asked = asked.withColumns({f"{e}{a}": F.expr(f"q{a} {o} tol") for e, o in (("min", "-"), ("max", "+")) for a in ("x", "y")})
+        left = settle(asked if share < 1 else left, boxes, layer.vertices, share)
+    best = reduce(DataFrame.union, found).select("q", F.lit(layer.name).alias("layer"), F.col("b.fid").alias("fid"), F.col("b.d").alias("distance"))
     return best.join(_described(layer.attributes), "fid").select("q", "layer", "fid", "distance", "attributes")
 
 

@@ -113,3 +113,27 @@ def test_open_whatever_a_path_holds(spark, tmp_path):
         z.writestr("readme.txt", "x")
     with pytest.raises(ValueError, match="no layer"):
         dataset.open_any(spark, str(tmp_path / "b.zip"))
+
+
+def test_clicks_in_deep_layers_meet_few_features(spark, monkeypatch):
+    boxes = [(f, r, float(s % 7), float(s % 5)) for f in range(6000) for r, s in ((0, 3 * f),)]
+    v = [(f, r, k, x + dx, y + dy) for f, r, x, y in boxes for k, (dx, dy) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)])]
+    layer = identify.Layer("faces", geom.FACE, spark.createDataFrame(v, "fid long, ring int, seq int, x double, y double"), spark.createDataFrame([(f, f) for f in range(6000)], "fid long, v long"))
+    clicks = identify.clicks_in(spark.createDataFrame([(k, 0.1 + 0.2 * (k % 40), 0.3 + 0.3 * (k % 20)) for k in range(60)] + [(99, 8.9, 7.2), (98, 3.0, 2.0)], "q int, x double, y double"), 0.05, 4326, 4326)
+    met, join = [], identify.box_join
+
+    def counted(*of):
+        pairs = join(*of)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(identify, "box_join", counted)
+    got = {r.q: (r.fid, round(r.distance, 6)) for r in identify.identify(clicks, layer, 5).collect()}
+    away = lambda c, x, y: max(x - c.qx, c.qx - x - 2, 0) ** 2 + max(y - c.qy, c.qy - y - 2, 0) ** 2
+    want = {}
+    for c in clicks.collect():
+        d, f = min((away(c, x, y) ** 0.5, f) for f, _, x, y in boxes)
+        if d <= c.tol:
+            want[c.q] = (f, round(d, 6))
+    assert got == want
+    assert sum(met) < 25_000
