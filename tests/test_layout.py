@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessella import registry
+from tessella import fixtures, registry
 from tessella.functions import geom, grid
 from tessella.operators import dissolve, fill, outlines, quadtree, spatial, tools
 from tessella.shared import exists, remove
@@ -251,6 +251,11 @@ def test_trapezoids_of_a_star(spark):
     assert abs(sum(abs((r.x2 - r.x1) * (r.y3 - r.y1) - (r.x3 - r.x1) * (r.y2 - r.y1)) / 2 for r in t) - want) < 1e-9
 
 
+def test_triangles_leave_holes_out(spark):
+    n, held = fixtures.parcels(spark, D).selectExpr("count(*)", "sum(has_hole)").first()
+    assert held > 0 and registry.queries()["triangle_partition"](spark, D).selectExpr("sum(n)").first()[0] == 2 * (n - held) + 8 * held
+
+
 def test_small_faces_are_outlined_only(spark):
     rows = [(k, 0, 0, s, float(x), float(y)) for k, b in enumerate((box(1, 1, 2, 2), box(10, 10, 30, 30))) for s, (x, y) in enumerate([*b, b[0]])]
     rings = geom.ring_points(spark.createDataFrame(rows, "fid long, part int, ring int, seq int, x double, y double"), ["fid", "part", "ring"])
