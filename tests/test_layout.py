@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella import fixtures, registry
-from tessella.functions import geom, grid
+from tessella.functions import geom, grid, kernels
 from tessella.operators import dissolve, fill, outlines, quadtree, spatial, tools
 from tessella.shared import exists, remove
 from tessella.sources import clustered, region
@@ -277,6 +278,41 @@ def test_pairs_of_sites_and_parcels_are_not_shuffled(spark):
     assert "partial_count" in plan[: plan.index("Join")]  # counted by parcel before anything leaves the join's task
 
 
+def test_points_in_polygons_are_counted_without_pairs(spark, monkeypatch):
+    def no_pairs(*_):
+        raise AssertionError("pairs of sites and parcels are tested")
+
+    rng = random.Random(7)
+    points = [(k, rng.randrange(-80, 80) / 4, rng.uniform(-20, 20)) for k in range(3000, 0, -1)] + [(9001, None, 0.0), (9002, 0.0, float("nan"))]
+    vertices = []
+    for k in range(60):
+        x, y, s = rng.randrange(-20, 15), rng.randrange(-20, 15), rng.randrange(1, 12)
+        shapes = [box(x, y, x + s, y + s), box(x + s / 4, y + s / 4, x + s * 3 / 4, y + s * 3 / 4)][: 1 + k % 2] if k % 3 else [[(x + rng.uniform(-s, s), y + rng.uniform(-s, s)) for _ in range(7)]]
+        vertices += [(k, 0, r, i, float(a), float(b)) for r, shape in enumerate(shapes) for i, (a, b) in enumerate([*shape, shape[0]])]
+    want = {}
+    for k in range(60):
+        rings = [[v[4:] for v in vertices if v[0] == k and v[2] == r] for r in (0, 1)]
+        held = [f for f, x, y in points if x is not None and sum(kernels.point_in_ring(x, y, r[:-1]) for r in rings if r) % 2]
+        if held:
+            want[k] = (len(held), min(held))
+    layer = spark.createDataFrame(vertices, "fid long, part int, ring int, seq int, x double, y double")
+    monkeypatch.setattr(geom, "crosses_ray", no_pairs)
+    got = spatial.held_points(spark.createDataFrame(points, "fid long, x double, y double"), layer, 5).collect()
+    assert {r.parcel: (r.n_sites, r.first_site) for r in got} == want
+    registry.queries()["point_in_polygon_join"](spark, D)
+
+
+def test_points_far_from_outlines_are_not_tested(monkeypatch):
+    tested, crosses = [], kernels.crosses_ray
+    monkeypatch.setattr(kernels, "crosses_ray", lambda px, *edge: tested.append(len(px)) or crosses(px, *edge))
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(0, 100, (2, 20_000))
+    shell = np.array([(10.0, 10.0), (90.0, 12.0), (88.0, 90.0), (12.0, 88.0), (10.0, 10.0)])
+    n, first = kernels.points_in_polygons(x, y, np.arange(20_000), shell[:, 0], shell[:, 1], np.arange(5) == 0, np.array([5]))
+    inside = [k for k in range(20_000) if kernels.point_in_ring(x[k], y[k], [tuple(v) for v in shell[:-1]])]
+    assert (n[0], first[0]) == (len(inside), inside[0]) and sum(tested) < 4 * 20_000 / 5
+
+
 def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
     def no_pairs(*_):
         raise AssertionError("pairs of boxes are made")
