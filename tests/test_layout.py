@@ -313,6 +313,25 @@ def test_points_far_from_outlines_are_not_tested(monkeypatch):
     assert (n[0], first[0]) == (len(inside), inside[0]) and sum(tested) < 4 * 20_000 / 5
 
 
+def test_pairs_of_features_with_common_edges_are_not_shuffled(spark):
+    plan = registry.queries()["shared_edges"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")]
+
+
+def test_edge_pairs(spark):
+    rng = random.Random(8)
+    shapes = {}
+    for k in range(200):
+        x, y = rng.randrange(4), rng.randrange(4)
+        shapes[k] = [box(x, y, x + rng.randrange(3), y + rng.randrange(3)), box(x + 5, y, x + 6, y + 1)][: 1 + (k % 5 == 0)]
+    shapes |= {k: shapes[7] for k in range(500, 1800)}  # a class of more than one block
+    rows = [(k, part, i, a, b) for k, parts in shapes.items() for part, r in enumerate(parts) for i, (a, b) in enumerate([*r, r[0]])]
+    edges = {k: {tuple(sorted(e)) for r in parts for e in zip(r, r[1:] + r[:1], strict=True) if e[0] != e[1]} for k, parts in shapes.items()}
+    want = {(a, b): n for a in shapes for b in shapes if a < b and (n := len(edges[a] & edges[b]))}
+    got = spatial.edge_pairs(spark.createDataFrame(rows, "fid long, part int, seq int, x long, y long")).collect()
+    assert len(got) == len(want) and {(r.fid, r.other): r.n_shared for r in got} == want
+
+
 def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
     def no_pairs(*_):
         raise AssertionError("pairs of boxes are made")
